@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_urls": url_filter.OP7_SQL, "op8_neighbours": neighbours.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
+    return {"op1_near_dedup": near_dedup.OP1_SQL, "op7_urls": url_filter.OP7_SQL, "op8_neighbours": neighbours.OP8_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
