@@ -6,9 +6,11 @@ empty bin takes the value of a bin drawn by a seeded walk until one is filled (o
 
 Documents with equal shingle sets are one class from the start, so thousands of copies cost one candidate. In each
 bucket the members are compared with the bucket's centre only (a star: as many pairs as members). Connected
-components follow; buckets whose members then lie in more than one component are taken again, with more of their
-members as centres against members of other components, until none is left uncompared. So the stars bound the pairs
-of groups of near copies, and no pair that shares a bucket and is still apart goes uncompared.
+components follow. Documents of buckets whose members then lie in more than one component get an exact second look
+by prefixes: each keeps its rarest shingles, as many as two similar sets must share one of, and documents of
+different components that share such a shingle are compared. A passage that many documents hold is common, so it is
+in no prefix and makes no pairs; copies lie in one component by then. So stars bound the pairs of groups of near
+copies, and no pair that shares a bucket goes undecided.
 
 Every link is confirmed on the full shingle sets: a centre and up to ``salt`` members travel to one task as texts,
 where the sets are rebuilt; a centre with more members is sent once per ``salt`` of them. Components are found by
@@ -27,7 +29,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import as_bytes, map_arrow, stage, table, unstage
@@ -151,40 +153,62 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
+def prefixes(ids: DataFrame, docs: DataFrame, width: int, key: str, text: str, percent: int) -> DataFrame:
+    """(token, id, label, n): the rarest shingles of each document, as many as any two that are similar enough must
+    share one of. Rarity is counted over the given documents, all of them."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        sets = [shingle_set(raw, width) for raw in as_bytes(b.column(2))]
+        return {"id": b.column(0), "label": b.column(1), "n": [len(x) for x in sets], "tokens": [x.astype(np.int64) for x in sets]}
+
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids.hint("shuffle_hash"), "id").select("id", "label", "text")
+    sets = stage(map_arrow(texts, "id bigint, label bigint, n bigint, tokens array<bigint>", run), "sets")
+    each = sets.select("id", "label", "n", F.explode("tokens").alias("token"))
+    counted = each.join(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token", "left")
+    # A token of one document only is rarest and matches nothing: it takes a place and goes.
+    own = counted.groupBy("id", "label", "n").agg(F.count_if(F.col("df").isNull()).alias("alone"), F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "token")))).alias("tokens"))
+    places = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1 - F.col("alone")).cast("int")
+    return own.select("id", "label", "n", F.explode(F.slice("tokens", F.lit(1), places)).alias("x")).select("x.token", "id", "label", "n")
+
+
+def residual(members: DataFrame, labels: DataFrame, docs: DataFrame, width: int, key: str, text: str, percent: int) -> DataFrame:
+    """Candidates that stars have missed: pairs of different components that share a bucket of mixed components are
+    among the pairs of different components that share a token of their prefixes; here are those."""
+    known = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("bucket")
+    ids = stage(known.join(mixed, "bucket", "left_semi").select("id", "label").distinct(), "mixed")
+    found = stage(prefixes(ids, docs, width, key, text, percent), "prefixes")
+    sizes = found.groupBy("token", "label").agg(F.count("*").alias("size"))
+    most = sizes.groupBy("token").agg(F.max(F.struct("size", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1").select("token", "most")
+    held = stage(found.join(most, "token"), "tokens")
+    # All but the largest component of a token meet the others: as few pairs as there are small components.
+    few = held.where("label <> most").select("token", F.col("id").alias("x"), F.col("label").alias("xl"), F.col("n").alias("xn"))
+    met = held.join(few, "token").where("label <> xl and (label = most or id < x)").where(_near("n", "xn", percent))
+    pairs = met.select(F.least("id", "x").alias("centre"), F.greatest("id", "x").alias("member")).distinct()
+    return stage(pairs, "pairs")
+
+
+def _near(a: str, b: str, percent: int):
+    """Sizes that leave the similarity possible."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """(key, n_shingles, component) of every row."""
     signed = stage(signatures(docs, width, key, text), "signatures")
     classes = signed.where("print is not null and id is not null").groupBy("print").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stage(classes, "classes")
     spread = classes.select(F.col("rep").alias("id"), "n", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "id", "n")
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("centre"), F.min(F.struct("id", "n"))["n"].alias("centre_n")).where("size > 1")
-    members = stage(spread.join(shared, "bucket").select("bucket", "id", "n", "centre", "centre_n"), "buckets")
-    near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    pairs = members.where((F.col("id") != F.col("centre")) & near("n", "centre_n")).select("centre", F.col("id").alias("member")).distinct()
-    pairs = stage(pairs, "pairs")
-    tried = pairs
-    edges = stage(confirm(pairs, docs, width, key, text, percent), "edges")
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("low")).where("size > 1").select("bucket", F.col("low.id").alias("centre"), F.col("low.n").alias("centre_n"))
+    members = stage(spread.join(shared, "bucket"), "buckets")
+    pairs = members.where((F.col("id") != F.col("centre")) & _near("n", "centre_n", percent)).select("centre", F.col("id").alias("member")).distinct()
+    edges = stage(confirm(stage(pairs, "pairs"), docs, width, key, text, percent), "edges")
     labels = components(edges)
-    low, high = 1, 9
-    while True:
-        # Members beyond the centres so far, against all that come after them in the bucket and lie in other components.
-        known = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-        mixed = known.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.count("*").alias("size")).where(f"one <> other and size > {low + 1}").select("bucket")
-        ranked = known.join(mixed, "bucket").withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
-        ranked = stage(ranked, "ranked")
-        if ranked.isEmpty():
-            unstage(ranked)
-            break
-        centres = ranked.where(f"place > {low} and place <= {high}").select("bucket", F.col("id").alias("centre"), F.col("n").alias("cn"), F.col("label").alias("cl"), F.col("place").alias("cp"))
-        met = ranked.join(centres, "bucket").where((F.col("place") > F.col("cp")) & (F.col("label") != F.col("cl")) & near("n", "cn")).select("centre", F.col("id").alias("member")).distinct()
-        pairs = stage(met.join(tried, ["centre", "member"], "left_anti"), "pairs")
-        unstage(ranked)
-        if not pairs.isEmpty():
-            found = stage(confirm(pairs, docs, width, key, text, percent), "edges")
-            if not found.isEmpty():
-                labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(found))
-            tried = tried.union(pairs)
-        low, high = high, high * 9
+    missed = residual(members, labels, docs, width, key, text, percent)
+    if not missed.isEmpty():
+        found = stage(confirm(missed, docs, width, key, text, percent), "edges")
+        if not found.isEmpty():
+            labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(found))
     named = classes.join(labels, F.col("rep") == F.col("id"), "left").select("print", F.coalesce("label", "rep").alias("component"))
     linked = signed.select("id", "n_shingles", "print").join(named, "print", "left")
     return linked.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component"))
