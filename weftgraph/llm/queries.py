@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import decontaminate, licenses, near_dedup, neighbours, packing, quality, sharding, toxicity, url_filter
+from weftgraph.llm import decontaminate, licenses, near_dedup, neighbours, packing, pitman_yor, quality, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op4_packing": packing.op4_packing,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_pitman_yor": pitman_yor.op6_pitman_yor,
         "op7_urls": url_filter.op7_urls,
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_decontaminate": decontaminate.op9_decontaminate,
