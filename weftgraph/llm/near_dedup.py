@@ -18,8 +18,8 @@ alternating stars on tables; nothing is collected but counts. Tables that severa
 shared folder.
 
 Cases: texts without words, and null texts, have no shingles and are linked with nothing. Fewer words than a shingle:
-the whole sequence is the one shingle. Rows without an id are returned without a component and kept. Repeated ids
-share a component (of the union of their links). Empty table: no rows. Long texts are taken whole.
+the whole sequence is the one shingle. Rows without an id are returned without a component and kept. Equal rows
+share a component; an id that repeats with other texts may lie in the component of any of them. Empty table: no rows. Long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, key: str = "doc_id", text:
             labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(found))
     named = classes.join(labels, F.col("rep") == F.col("id"), "left").select("print", F.coalesce("label", "rep").alias("component"))
     linked = signed.select("id", "n_shingles", "print").join(named, "print", "left")
-    return linked.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component"))
+    return linked.select(F.col("id").alias(key), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

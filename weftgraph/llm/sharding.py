@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import table
+from weftgraph.llm.common import stage, table
 
 BUCKET_BYTES = 16 << 20
 
@@ -41,6 +41,8 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
         highest_draw(F.col(key), shards + 1, seed).alias("grown"),
         F.xxhash64(F.lit(seed + 1), F.col(key), rid).alias("draw"),
     ).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 2), F.col("draw")), F.lit(buckets)).cast("int"))
+    # The scatter is written once: row numbers of a second evaluation could differ, and counts with them.
+    dealt = stage(dealt, "scatter")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     # Sorting by the draw first makes the permutation the same on every attempt of a task.

@@ -48,7 +48,7 @@ def _scratch(buckets: int) -> np.ndarray:
     return _places[buckets]
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, epochs: int = 6, batch: int = 128, rate: float = 0.02, decay: float = 3e-4, seed: int = 3, buckets: int = BUCKETS) -> tuple[float, np.ndarray]:
+def fit(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, epochs: int = 6, steps: int = 300, batch: int = 128, rate: float = 0.02, decay: float = 3e-3, seed: int = 3, buckets: int = BUCKETS) -> tuple[float, np.ndarray]:
     """(bias, weights): the weights already hold the log-count ratios."""
     if not len(y) or y.min() == y.max():
         return (0.0 if not len(y) else (3.0 if y[0] else -3.0)), np.zeros(buckets, np.float32)
@@ -62,7 +62,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, epochs: int =
     rng = np.random.default_rng(seed)
     w, m, s, step = np.zeros(buckets, np.float32), np.zeros(buckets, np.float32), np.zeros(buckets, np.float32), 0
     bias, mb, vb = float(np.log(y.mean() / (1 - y.mean()))), 0.0, 0.0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // len(y)))):  # few rows are seen more often
         order = rng.permutation(len(y))
         for k in range(0, len(y), batch):
             some = order[k : k + batch]
