@@ -154,8 +154,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def prefixes(ids: DataFrame, docs: DataFrame, width: int, key: str, text: str, percent: int) -> DataFrame:
-    """(token, id, label, n): the rarest shingles of each document, as many as any two that are similar enough must
-    share one of. Rarity is counted over the given documents, all of them."""
+    """(token, id, label, n, rest): the rarest shingles of each document, as many as any two that are similar enough must
+    share one of, each with the number of the document's shingles from it on. Rarity is counted over the given
+    documents, all of them."""
 
     def run(b: pa.RecordBatch) -> dict:
         sets = [shingle_set(raw, width) for raw in as_bytes(b.column(2))]
@@ -168,7 +169,8 @@ def prefixes(ids: DataFrame, docs: DataFrame, width: int, key: str, text: str, p
     # A token of one document only is rarest and matches nothing: it takes a place and goes.
     own = counted.groupBy("id", "label", "n").agg(F.count_if(F.col("df").isNull()).alias("alone"), F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "token")))).alias("tokens"))
     places = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1 - F.col("alone")).cast("int")
-    return own.select("id", "label", "n", F.explode(F.slice("tokens", F.lit(1), places)).alias("x")).select("x.token", "id", "label", "n")
+    own = own.select("id", "label", "n", "alone", F.posexplode(F.slice("tokens", F.lit(1), places)).alias("place", "x"))
+    return own.select("x.token", "id", "label", "n", (F.col("n") - F.col("alone") - F.col("place")).alias("rest"))
 
 
 def residual(members: DataFrame, labels: DataFrame, docs: DataFrame, width: int, key: str, text: str, percent: int) -> DataFrame:
@@ -182,8 +184,10 @@ def residual(members: DataFrame, labels: DataFrame, docs: DataFrame, width: int,
     most = sizes.groupBy("token").agg(F.max(F.struct("size", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1").select("token", "most")
     held = stage(found.join(most, "token"), "tokens")
     # All but the largest component of a token meet the others: as few pairs as there are small components.
-    few = held.where("label <> most").select("token", F.col("id").alias("x"), F.col("label").alias("xl"), F.col("n").alias("xn"))
-    met = held.join(few, "token").where("label <> xl and (label = most or id < x)").where(_near("n", "xn", percent))
+    few = held.where("label <> most").select("token", F.col("id").alias("x"), F.col("label").alias("xl"), F.col("n").alias("xn"), F.col("rest").alias("xrest"))
+    # At the first token that two share, no more than the shorter rest can be common.
+    enough = (100 + percent) * F.least("rest", "xrest") >= percent * (F.col("n") + F.col("xn"))
+    met = held.join(few, "token").where("label <> xl and (label = most or id < x)").where(_near("n", "xn", percent) & enough)
     pairs = met.select(F.least("id", "x").alias("centre"), F.greatest("id", "x").alias("member")).distinct()
     return stage(pairs, "pairs")
 
@@ -199,8 +203,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, key: str = "doc_id", text:
     classes = signed.where("print is not null and id is not null").groupBy("print").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stage(classes, "classes")
     spread = classes.select(F.col("rep").alias("id"), "n", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "id", "n")
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("low")).where("size > 1").select("bucket", F.col("low.id").alias("centre"), F.col("low.n").alias("centre_n"))
-    members = stage(spread.join(shared, "bucket"), "buckets")
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = stage(spread.join(sizes, "bucket"), "buckets")
+    # The centre of a bucket is its member with the most company over all buckets: an original rather than a copy of it.
+    company = members.groupBy("id").agg(F.sum("size").alias("company"))
+    centres = members.join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("low"), "n")).alias("c"))
+    members = stage(members.join(centres.select("bucket", (-F.col("c.low")).alias("centre"), F.col("c.n").alias("centre_n")), "bucket"), "stars-of")
     pairs = members.where((F.col("id") != F.col("centre")) & _near("n", "centre_n", percent)).select("centre", F.col("id").alias("member")).distinct()
     edges = stage(confirm(stage(pairs, "pairs"), docs, width, key, text, percent), "edges")
     labels = components(edges)
