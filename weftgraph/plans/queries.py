@@ -56,8 +56,8 @@ def _suppliers(g: Graph) -> DataFrame:
 
 
 def _heads(g: Graph) -> DataFrame:
-    """Methods of a bounded set of customers, as roots."""
-    return g.nodes.where("type = 'Method' and namespace = 'O' and identifier like '%7'")
+    """All methods, as roots."""
+    return g.nodes.where("type = 'Method'")
 
 
 @query(f"SELECT id, name, type FROM nodes WHERE upper(name) = upper({NAME})")
@@ -145,40 +145,40 @@ def relation_filter(g: Graph) -> DataFrame:
 
 def _direct(incoming: bool) -> str:
     near, far = ("target_id", "source_id") if incoming else ("source_id", "target_id")
-    return f"SELECT DISTINCT {near} AS root, {far} AS node FROM edges WHERE {USAGE} AND {RESOLVED} AND source_id <> target_id AND {near} LIKE 'ship:default:%'"
+    return f"SELECT DISTINCT {near} AS root, {far} AS node FROM edges WHERE {USAGE} AND {RESOLVED} AND source_id <> target_id"
 
 
 @query(_direct(False))
 def direct_uses(g: Graph) -> DataFrame:
-    usage = traverse.resolved(g.edges.where(X.is_usage()), g.nodes).where("source_id like 'ship:default:%' and source_id <> target_id")
+    usage = traverse.resolved(g.edges.where(X.is_usage()), g.nodes).where("source_id <> target_id")
     return usage.select(F.col("source_id").alias("root"), F.col("target_id").alias("node")).distinct()
 
 
 @query(_direct(True))
 def direct_used_by(g: Graph) -> DataFrame:
-    usage = traverse.resolved(g.edges.where(X.is_usage()), g.nodes).where("target_id like 'ship:default:%' and source_id <> target_id")
+    usage = traverse.resolved(g.edges.where(X.is_usage()), g.nodes).where("source_id <> target_id")
     return usage.select(F.col("target_id").alias("root"), F.col("source_id").alias("node")).distinct()
 
 
-@query(f""", u AS (SELECT * FROM edges WHERE {USAGE} AND {RESOLVED} AND target_id LIKE 'ship:default:part/%')
-SELECT target_id AS root, source_id AS node, CAST(count(*) AS BIGINT) AS edge_count, CAST(count(DISTINCT line) AS BIGINT) AS call_sites,
-  array_to_string(list_slice(list_sort(list(DISTINCT line + 1) FILTER (line IS NOT NULL)), 1, 3), ',') AS lines, CAST(min({REL_RANK}) AS INTEGER) AS min_rank
+@query(f""", u AS (SELECT * FROM edges WHERE {USAGE} AND {RESOLVED})
+SELECT target_id AS root, source_id AS node, CAST(count(*) AS BIGINT) AS edge_count, CAST(coalesce(len(list_distinct(list(line) FILTER (line IS NOT NULL))), 0) AS BIGINT) AS call_sites,
+  coalesce(array_to_string(list_slice(list_sort(list_distinct(list(line + 1) FILTER (line IS NOT NULL))), 1, 3), ','), '') AS lines, CAST(min({REL_RANK}) AS INTEGER) AS min_rank
 FROM u GROUP BY 1, 2""")
 def edge_occurrences(g: Graph) -> DataFrame:
-    usage = traverse.resolved(g.edges.where(X.is_usage()), g.nodes).where("target_id like 'ship:default:part/%'")
+    usage = traverse.resolved(g.edges.where(X.is_usage()), g.nodes)
     out = traverse.occurrences(usage, "target_id", "source_id", 3)
     return out.select("root", "node", "edge_count", F.col("call_sites").cast("long").alias("call_sites"), F.array_join("lines", ",").alias("lines"), "min_rank")
 
 
-_RELATED = f""", u AS (SELECT target_id AS root, source_id AS node, min({REL_RANK}) AS min_rank FROM edges WHERE {USAGE} AND {RESOLVED} AND target_id LIKE 'ship:default:supplier/%' GROUP BY 1, 2),
+_RELATED = f""", u AS (SELECT target_id AS root, source_id AS node, min({REL_RANK}) AS min_rank FROM edges WHERE {USAGE} AND {RESOLVED} GROUP BY 1, 2),
 r AS (SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY min_rank, {TEST_PATH}, {TYPE_RANK}, upper(file_path), start_line, identifier) AS rank, count(*) OVER (PARTITION BY root) AS total FROM u JOIN nodes ON node = id)
 SELECT root, node, CAST(rank AS INTEGER) AS rank, CAST(total AS BIGINT) AS total, total > 10 AS truncated FROM r WHERE rank <= 10"""
 
 
 @query(_RELATED)
 def rank_related(g: Graph) -> DataFrame:
-    """The flagship: who uses each supplier, ranked, the first ten with honest totals."""
-    usage = traverse.resolved(g.edges.where(X.is_usage()), g.nodes).where("target_id like 'ship:default:supplier/%'")
+    """The flagship: who uses each symbol, ranked, the first ten with honest totals."""
+    usage = traverse.resolved(g.edges.where(X.is_usage()), g.nodes)
     found = usage.groupBy(F.col("target_id").alias("root"), F.col("source_id").alias("node")).agg(F.min(X.relation_rank()).alias("min_rank"))
     near = found.join(g.nodes.withColumnRenamed("id", "node"), "node")
     order = [F.col("min_rank"), X.is_test_path().cast("int"), X.type_rank(), X.fold("file_path"), F.col("start_line"), F.col("identifier")]
@@ -381,10 +381,10 @@ def ignore_filter(g: Graph) -> DataFrame:
     return ignore.ignore_filter(g.nodes.select(F.substring("file_path", 2, 1000).alias("path")).distinct(), rules).select(F.concat(F.lit("/"), "path").alias("path"), "included")
 
 
-def _walk(incoming: bool, depth: int, roots: str) -> str:
+def _walk(incoming: bool, depth: int) -> str:
     near, far = ("target_id", "source_id") if incoming else ("source_id", "target_id")
     return f""", u AS (SELECT {near} AS a, {far} AS b, [coalesce(id, ''), source_id, target_id, coalesce(type, '')] AS k, coalesce(type, 'USES') AS shown FROM edges WHERE {USAGE} AND {RESOLVED}),
-w AS (SELECT id AS root, id AS node, 0 AS distance, CAST([] AS VARCHAR[][]) AS k, CAST([] AS VARCHAR[]) AS p FROM nodes WHERE {roots}
+w AS (SELECT id AS root, id AS node, 0 AS distance, CAST([] AS VARCHAR[][]) AS k, CAST([] AS VARCHAR[]) AS p FROM nodes
   UNION ALL SELECT w.root, u.b, w.distance + 1, list_append(w.k, u.k), list_append(w.p, u.shown) FROM w JOIN u ON u.a = w.node WHERE w.distance < {depth}),
 f AS (SELECT root, node, min(distance) AS distance FROM w GROUP BY 1, 2),
 g AS (SELECT w.root, w.node, w.distance, arg_min(w.p, w.k) AS p FROM w JOIN f ON w.root = f.root AND w.node = f.node AND w.distance = f.distance WHERE w.distance > 0 GROUP BY 1, 2, 3)
@@ -395,32 +395,28 @@ def _flat(found: DataFrame) -> DataFrame:
     return found.select("root", "node", "distance", F.array_join("relation_path", ">").alias("path"))
 
 
-_PARTS = "id LIKE 'ship:default:part/1%'"
-
-
-@query(_walk(False, 3, "id LIKE 'tpch:default:orders/1%'"), keep=True)
+@query(_walk(False, 3), keep=True)
 def traverse_uses(g: Graph) -> DataFrame:
-    return _flat(traverse.traverse(g.nodes, g.edges, g.nodes.where("id like 'tpch:default:orders/1%'"), 3, False))
+    return _flat(traverse.traverse(g.nodes, g.edges, g.nodes, 3, False))
 
 
-@query(_walk(True, 2, "type = 'Interface'"), keep=True)
+@query(_walk(True, 3), keep=True)
 def traverse_used_by(g: Graph) -> DataFrame:
-    return _flat(traverse.traverse(g.nodes, g.edges, g.nodes.where("type = 'Interface'"), 2, True))
+    return _flat(traverse.traverse(g.nodes, g.edges, g.nodes, 3, True))
 
 
-@query(_walk(False, 3, "id LIKE 'tpch:default:orders/1%'") + " WHERE distance > 1", keep=True)
+@query(_walk(False, 3) + " WHERE distance > 1", keep=True)
 def transitive_uses(g: Graph) -> DataFrame:
     return traverse_uses(g).where("distance > 1")
 
 
-@query(_walk(True, 2, "type = 'Interface'") + " WHERE distance > 1", keep=True)
+@query(_walk(True, 3) + " WHERE distance > 1", keep=True)
 def transitive_used_by(g: Graph) -> DataFrame:
     return traverse_used_by(g).where("distance > 1")
 
 
-_HEADS = "type = 'Method' AND namespace = 'O' AND identifier LIKE '%7'"
 _FAMILY = f""", k AS (SELECT source_id AS a, target_id AS b FROM edges WHERE {KIN} AND {RESOLVED} UNION SELECT target_id, source_id FROM edges WHERE {KIN} AND {RESOLVED}),
-m AS (SELECT id AS root, id AS node FROM nodes WHERE {_HEADS} UNION SELECT m.root, k.b FROM m JOIN k ON k.a = m.node)"""
+m AS (SELECT id AS root, id AS node FROM nodes WHERE type = 'Method' UNION SELECT m.root, k.b FROM m JOIN k ON k.a = m.node)"""
 
 
 @query(_FAMILY + " SELECT root, node FROM m", keep=True)
@@ -448,7 +444,7 @@ def bindings(g: Graph) -> DataFrame:
 
 
 _TESTED = f""", u AS (SELECT source_id AS s, target_id AS t, type FROM edges WHERE {USAGE} AND {RESOLVED}), tests AS (SELECT id, file_path, {TEST_METHOD} AS is_method FROM nodes WHERE {TEST_PATH}),
-r AS (SELECT id AS root FROM nodes WHERE id LIKE 'ship:default:supplier/%' OR id LIKE 'ship:default:part/1%'),
+r AS (SELECT id AS root FROM nodes),
 w AS (SELECT root, root AS node, 0 AS d FROM r UNION SELECT root, s, d + 1 FROM w JOIN u ON t = node WHERE d < 5), f AS (SELECT root, node, min(d) AS d FROM w GROUP BY 1, 2),
 e AS (SELECT root, file_path AS file, CASE type WHEN 'IMPLEMENTS' THEN 'testImplementer' ELSE 'testReference' END AS evidence, NULL AS method, s AS source FROM r JOIN u ON t = root JOIN tests ON id = s
 UNION SELECT root, file_path, 'directCall', s, NULL FROM r JOIN u ON t = root JOIN tests ON id = s WHERE is_method AND type IN ('CALLS', 'MOCK_CALLS')
@@ -456,8 +452,7 @@ UNION SELECT root, file_path, CASE d WHEN 1 THEN 'testReference' ELSE 'indirectR
 
 
 def _evidence(g: Graph) -> tuple[DataFrame, DataFrame]:
-    roots = g.nodes.where("id like 'ship:default:supplier/%' or id like 'ship:default:part/1%'")
-    return evidence.evidence(g.nodes, g.edges, roots), roots
+    return evidence.evidence(g.nodes, g.edges, g.nodes), g.nodes
 
 
 @query(_TESTED + " SELECT root, file, evidence, CAST(count(DISTINCT method) AS BIGINT) AS methods FROM e GROUP BY 1, 2, 3", keep=True)
