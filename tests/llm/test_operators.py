@@ -161,6 +161,24 @@ def test_pitman_yor(spark, tokens):
     assert pitman_yor.score(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("top", [256, 4])
+def test_seatings_follow_the_full_conditional(top):
+    """Directly and by steps, for few and many customers; and steps go on from the tables given."""
+    assert pitman_yor.SWEEPS > pitman_yor.SAMPLES  # burn-in
+    for n, d, z in [(40, 0.3, 3.0), (200, 0.85, 0.05), (200, 0.7, 20.0), (200, 0.5, 60.0)]:
+        log = np.zeros(1)
+        for i in range(1, n):
+            log = np.logaddexp(np.append(log + np.log(i - d * np.arange(1, i + 1)), -np.inf), np.append(-np.inf, log))
+        w = log + np.arange(1, n + 1) * np.log(z)
+        w = np.exp(w - w.max())
+        want = (w / w.sum()) @ np.arange(1, n + 1)
+        c, t, rng = np.full(4000, n), None, np.random.default_rng(3)
+        for _ in range(8):
+            t = pitman_yor.seat(c, t, np.full(4000, z), d, rng, top)
+        sd = np.sqrt((w / w.sum()) @ (np.arange(1, n + 1) - want) ** 2 / 4000)
+        assert abs(t.mean() - want) < 5 * sd + 1e-9
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "http://EXAMPLE.org/en/148.html", "https://a.example.org/es/1?x", "https://a.example.org/es", "x://com/fr/", "http://b.com/de/#y", "http://b.com?/de/", "http://notexample.org/en/1", "http://b.net/a/b", "http://B.COM/fr/x"]
     df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate([*urls, urls[4]])], "page_id bigint, url string, host string, rule string")
