@@ -179,6 +179,11 @@ def test_seatings_follow_the_full_conditional(top):
         assert abs(t.mean() - want) < 5 * sd + 1e-9
 
 
+def test_score_sums_are_doubles(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert any(r.score != float(np.float32(r.score)) for r in pitman_yor.score(d).collect())
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "http://EXAMPLE.org/en/148.html", "https://a.example.org/es/1?x", "https://a.example.org/es", "x://com/fr/", "http://b.com/de/#y", "http://b.com?/de/", "http://notexample.org/en/1", "http://b.net/a/b", "http://B.COM/fr/x"]
     df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate([*urls, urls[4]])], "page_id bigint, url string, host string, rule string")
