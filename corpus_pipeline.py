@@ -5,11 +5,13 @@ rereads it as the docs of the next. All but the last return the columns of docum
 shingles of five words at a similarity of 0.8 or more, and the document with the smallest id of each group stays.
 
 Cases: null texts and ids, empty texts, repeated rows and further columns pass the stages as the operators' docstrings
-say; rows that repeat an id within a group of copies become one. Empty tables stay empty.
+say; rows that repeat an id and its text become one, and an id's other texts are documents of their own. Empty tables stay empty.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,15 +33,31 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id; documents without an id stay."""
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = stage(ids.where("n > 1").select("doc_id", F.lit(True).alias("_repeated")), "repeated")
+    if not repeated.isEmpty():
+        return one_of_each_text(docs, repeated)
     groups = stage(near_dedup.near_duplicates(docs, width=5), "groups")
     later = groups.where("doc_id <> component").select("doc_id").distinct()
-    kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    # Rows that repeat an id: one of them stays.
-    alone = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return alone.union(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+
+
+def one_of_each_text(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The same where ids repeat: an id with several texts is several documents, ordered by the texts' digests."""
+    flagged = docs.join(repeated, "doc_id", "left").withColumn("_digest", F.coalesce(F.sha2("text", 256), F.lit("")))
+    for salt in itertools.count():
+        key = F.when(F.col("_repeated"), F.xxhash64(F.lit(salt), "doc_id", "_digest")).otherwise(F.col("doc_id").cast("long"))
+        keyed = stage(flagged.withColumn("_row", key), "keyed")
+        names = stage(keyed.where("_row is not null").select("_row", "doc_id", "_digest").distinct(), "names")
+        if names.groupBy("_row").count().where("count > 1").isEmpty():
+            break  # no two documents have one key
+    groups = stage(near_dedup.near_duplicates(keyed, width=5, key="_row"), "groups").where("_row is not null").select("_row", "component").distinct()
+    first = groups.join(names, "_row").groupBy("component").agg(F.min_by("_row", F.struct("doc_id", "_digest")).alias("first"))
+    later = groups.join(first, "component").where("_row <> first").select("_row")
+    kept = keyed.join(later, "_row", "left_anti")
+    # Rows of one id and text: the smallest of them stays.
+    alone = kept.where("_repeated is null").select(docs.columns)
+    return alone.union(kept.where("_repeated").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

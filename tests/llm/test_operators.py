@@ -269,3 +269,16 @@ def test_pipeline(spark):
         d, seen = out, out.count()
     pieces = corpus_pipeline.packed(spark, d, sf)
     assert pieces.select("doc_id").distinct().count() == d.select("doc_id").distinct().count()
+
+
+def test_repeated_ids_with_other_texts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(5, a), (5, a), (5, b), (5, c), (3, a + " tail"), (9, b + " tail"), (None, a), (7, None), (7, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.one_of_each(spark, d, "")
+    assert got.columns == d.columns
+    want = [(3, a + " tail"), (5, b), (5, c), (None, a), (7, None), (7, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
