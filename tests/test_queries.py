@@ -30,3 +30,27 @@ def test_same_rows(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_related_groups_cover_all_roots(spark, duck):
+    """Pairs of all roots out of the groups, against related items over all nodes; and the groups against their SQL."""
+    from weftgraph.operators import files
+    from weftgraph.plans.adapter import star_graph
+
+    got = graph.queries()["related_groups"](spark, SF)
+    want = duck.execute(graph.oracle_sql()["related_groups"]).fetchall()
+    assert [len({r["group"] for r in got.where(f"proximity = {p}").collect()}) for p in (0, 1)] == [len({r[1] for r in want if r[0] == p}) for p in (0, 1)]
+    assert got.count() == len(want)
+    nodes = star_graph(spark, SF).nodes.where("id like '%1'")
+    rows = files.related_groups(nodes).collect()
+    at = {}
+    for r in rows:
+        at.setdefault((r.proximity, r["group"]), []).append(r.node)
+    pairs = {}
+    for (p, _), members in at.items():
+        for x in members:
+            for y in members:
+                if x != y:
+                    pairs[x, y] = min(p, pairs.get((x, y), p))
+    assert {(r.root, r.node): r.proximity for r in files.related_items(nodes, nodes).collect()} == pairs
+    assert any("orders" in x for x, _ in pairs)

@@ -33,6 +33,15 @@ def related_items(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return same.union(close).where("root <> node").groupBy("root", "node").agg(F.min("proximity").alias("proximity"))
 
 
+def related_groups(nodes: DataFrame) -> DataFrame:
+    """(proximity, group, node): every node in the group of its file (0) and of its namespace (1), which is all of
+    related_items in as many rows as there are nodes: a root's items are the other members of its groups, by the least
+    proximity."""
+    files = nodes.select(F.lit(0).alias("proximity"), path_key("file_path").alias("group"), F.col("id").alias("node"))
+    spaces = nodes.select(F.lit(1).alias("proximity"), fold("namespace").alias("group"), F.col("id").alias("node"))
+    return files.union(spaces).where("group <> ''")
+
+
 def content_snippet(nodes: DataFrame, files: DataFrame, fix_offset: bool = False) -> DataFrame:
     """(id, content): the lines of a span out of files (file_path, text). Stored spans count from 0 but are cut as if
     from 1, which shifts the text up by a line; fix_offset cuts them as stored."""

@@ -219,6 +219,11 @@ def related_items(g: Graph) -> DataFrame:
     return files.related_items(g.nodes, _suppliers(g))
 
 
+@query("SELECT 0 AS proximity, upper(file_path) AS \"group\", id AS node FROM nodes WHERE file_path <> '' UNION ALL SELECT 1, upper(namespace), id FROM nodes WHERE namespace <> ''")
+def related_groups(g: Graph) -> DataFrame:
+    return files.related_groups(g.nodes)
+
+
 @query("SELECT 'node' AS what, type AS kind, CAST(count(*) AS BIGINT) AS n FROM nodes WHERE type <> '' GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges WHERE type <> '' GROUP BY type UNION ALL SELECT 'node', '*', count(*) FROM nodes UNION ALL SELECT 'edge', '*', count(*) FROM edges")
 def graph_stats(g: Graph) -> DataFrame:
     return stats.graph_stats(g)
