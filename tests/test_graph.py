@@ -132,3 +132,11 @@ def test_expressions(spark):
     df = spark.createDataFrame([("csharp:w:Ns.Type#Ns.Outer.Run(int)", "", "a  b\n c")], "id string, identifier string, signature string")
     r = df.select(X.legacy_identifier(), X.containing_type("id"), X.compact_signature()).first()
     assert tuple(r) == ("Ns.Type#Ns.Outer.Run(int)", "Outer", "a b c")
+
+
+def test_ignore_filter_judges_long_paths_whole(spark):
+    from weftgraph.plans import queries
+
+    path = "/wh/" + "d/" * 600 + "a.ts"
+    g = Graph(spark.createDataFrame([(path,)], "file_path string"), None)
+    assert [tuple(r) for r in queries.ignore_filter(g).collect()] == [(path, False)]

@@ -383,7 +383,7 @@ def effective_changes(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT DISTINCT file_path AS path, NOT (file_path LIKE '%/tests/%' OR (file_path LIKE '%.ts' AND file_path NOT LIKE '%Supplier7.ts')) AS included FROM nodes")
 def ignore_filter(g: Graph) -> DataFrame:
     rules = ignore.compile_rules(g.nodes.sparkSession, [("", "tests/\n*.ts\n!Supplier7.ts\n")])
-    return ignore.ignore_filter(g.nodes.select(F.substring("file_path", 2, 1000).alias("path")).distinct(), rules).select(F.concat(F.lit("/"), "path").alias("path"), "included")
+    return ignore.ignore_filter(g.nodes.select(F.expr("substring(file_path, 2)").alias("path")).distinct(), rules).select(F.concat(F.lit("/"), "path").alias("path"), "included")
 
 
 def _walk(incoming: bool, depth: int) -> str:
