@@ -282,3 +282,11 @@ def test_repeated_ids_with_other_texts(spark):
     assert got.columns == d.columns
     want = [(3, a + " tail"), (5, b), (5, c), (None, a), (7, None), (7, "")]
     assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_labels_of_other_documents_take_no_places(spark):
+    from weftgraph.llm.labelled import training_rows
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, toxic int")
+    d = spark.createDataFrame([(i, f"text {i}") for i in range(0, 400, 20)], "doc_id bigint, text string")
+    assert training_rows(d, labels, "toxic", 10, 1).count() == 10

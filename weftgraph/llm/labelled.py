@@ -14,6 +14,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, se
     """(doc_id, text, y) of at most ``bound`` labelled documents, the first by a seeded hash of the id, held-out ones
     aside. The bound keeps the ids small enough to broadcast. A document with several labels takes the largest."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels of other documents take no places
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(bound)
     return docs.select("doc_id", text).join(F.broadcast(known), "doc_id")
