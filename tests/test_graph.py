@@ -140,3 +140,13 @@ def test_ignore_filter_judges_long_paths_whole(spark):
     path = "/wh/" + "d/" * 600 + "a.ts"
     g = Graph(spark.createDataFrame([(path,)], "file_path string"), None)
     assert [tuple(r) for r in queries.ignore_filter(g).collect()] == [(path, False)]
+
+
+def test_family_used_by_deep(spark):
+    from weftgraph.plans import queries
+
+    kinds = [("b", "a", "OVERRIDES_MEMBER"), ("c", "b", "CALLS"), ("d", "c", "CALLS"), ("e", "d", "CALLS"), ("f", "e", "CALLS")]
+    edges = [(f"{s}>{t}", s, t, k, None, None) for s, t, k in kinds]
+    g = Graph(spark.createDataFrame([(x, "Method" if x in "ab" else "Class") for x in "abcdef"], "id string, type string"), spark.createDataFrame(edges, "id string, source_id string, target_id string, type string, line bigint, col bigint"))
+    got = sorted((r.root, r.node, r.distance) for r in queries.family_used_by_deep(g).collect())
+    assert got == [(root, node, n) for root in "ab" for n, node in enumerate("cde", 1)]

@@ -440,6 +440,11 @@ def family_used_by(g: Graph) -> DataFrame:
     return traverse.family_used_by(g.nodes, g.edges, _heads(g), 1).select("root", "node", "distance")
 
 
+@query(keep=True)
+def family_used_by_deep(g: Graph) -> DataFrame:
+    return _flat(traverse.family_used_by(g.nodes, g.edges, _heads(g), 3))
+
+
 @query(_FAMILY + f""", l AS (SELECT target_id, arg_min(type, id) AS kind FROM edges WHERE {KIN} GROUP BY 1),
 n AS (SELECT root, node, CASE kind WHEN 'IMPLEMENTS_MEMBER' THEN 'interface' WHEN 'OVERRIDES_MEMBER' THEN 'base' ELSE CASE WHEN node = root THEN 'exact' ELSE 'implementation' END END AS label FROM m LEFT JOIN l ON target_id = node),
 c AS (SELECT DISTINCT n.root, source_id AS caller, label FROM n JOIN edges ON target_id = node WHERE {USAGE} AND {RESOLVED} AND NOT EXISTS (SELECT 1 FROM m x WHERE x.root = n.root AND x.node = source_id))
