@@ -10,15 +10,20 @@ are dealt by a hash into groups of at most about ``group_tokens`` tokens, each p
 lost to bins left open at the end of a group stays below ``open_bins`` sequences for each ``group_tokens``.
 
 Cases: null and empty texts are the id 0 alone. Repeated rows are packed each. Null ids stay null. Empty table: no
-rows. A very long text is cut; nothing is dropped. Other columns are left out of the result.
+rows. A very long text, or a run of one character of any length, is cut; nothing is dropped. Other columns, whatever
+their names, are left out of the result.
 
 The ids equal those of the tokenizers library with the vocabulary's JSON file; tiktoken reads the same vocabulary
 as ranks and makes them several times faster. The end-of-text string in a text becomes its special id, in both.
+tiktoken's matcher keeps one place on its stack for each character of a run of white space and fails near a million;
+all its other patterns take one place a match. So texts with ``SPACES`` white-space characters in a row go to the
+tokenizers library itself, which has no such stack: texts of any length and kind get their ids.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -26,18 +31,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import as_bytes, map_arrow, stage, table
+from weftgraph.llm.common import as_bytes, map_arrow, quoted, stage, table
 
-LENGTH, OPEN_BINS, GROUP_TOKENS = 2048, 4096, 2_000_000_000
+LENGTH, OPEN_BINS, GROUP_TOKENS, SPACES = 2048, 4096, 2_000_000_000, 1000
 _encoders: dict = {}
+_spaces = re.compile(r"\s{%d}" % SPACES)  # what Python holds for white space includes all that the matcher does
 
 
-def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def plain_encoder(path: str):
+    """The tokenizers library's own encoder of a JSON file, read once in each worker that needs it."""
+    if path not in _encoders:
+        from tokenizers import Tokenizer
+
+        _encoders[path] = Tokenizer.from_file(path)
+    return _encoders[path]
+
+
 def encoder(path: str):
     """The encoder of a rank file, read once in each worker."""
     if path not in _encoders:
@@ -50,6 +65,13 @@ def encoder(path: str):
     return _encoders[path]
 
 
+def ids_of(s: str, ranks: str, json: str) -> list[int]:
+    if _spaces.search(s):
+        return plain_encoder(json).encode(s, add_special_tokens=False).ids
+    enc = encoder(ranks)
+    return enc.encode(s, allowed_special="all") if "<|" in s else enc.encode_ordinary(s)
+
+
 def cut(n: int, length: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids: all but the first are full."""
     if n <= length:
@@ -58,16 +80,15 @@ def cut(n: int, length: int) -> list[tuple[int, int]]:
     return [(0, first), *((x, length) for x in range(first, n, length))]
 
 
-def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, ranks: str | None = None, json: str | None = None, with_ids: bool = True) -> DataFrame:
     """A row per piece: key, piece, start, length, crc32 of the ids and, if asked for, the ids."""
 
     def tokenise(b: pa.RecordBatch) -> dict:
         # The vocabulary is a file of the installed package on every machine, so its place is looked up there.
-        enc = encoder(path or vocabulary())
+        paths = ranks or vocabulary("byte_bpe_50k.tiktoken"), json or vocabulary("byte_bpe_50k.json")
         out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32", "ids")}
         for row, raw in enumerate(as_bytes(b.column(1))):
-            s = raw.decode()
-            ids = np.array([*(enc.encode(s, allowed_special="all") if "<|" in s else enc.encode_ordinary(s)), 0], dtype="<u4")
+            ids = np.array([*ids_of(raw.decode(), *paths), 0], dtype="<u4")
             for k, (at, n) in enumerate(cut(len(ids), length)):
                 part = ids[at : at + n].tobytes()
                 for name, x in zip(out, (row, k, at, n, zlib.crc32(part), part if with_ids else None), strict=True):
@@ -76,7 +97,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     kind = docs.schema[key].dataType.simpleString()
     ids = ", ids binary" if with_ids else ""
-    return map_arrow(docs.select(key, text), f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint{ids}", tokenise).withColumnRenamed("key", key)
+    return map_arrow(docs.select(quoted(key), quoted(text)), f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint{ids}", tokenise).withColumnRenamed("key", key)
 
 
 class BestFit:
