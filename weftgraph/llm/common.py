@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,28 +19,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; one of our own only where the session names none."""
+    """The checkpoint folder that all executors share; one of our own only where driver and executors are one machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="weftgraph-")
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+_staged: list[DataFrame] = []
+
+
+def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.weft_path = path
+    _staged.append(out)
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Remove a staged table that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(df.weft_path)
-    path.getFileSystem(conf).delete(path, True)
+def unstage(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.weft_path)
+        path.getFileSystem(conf).delete(path, True)
+        _staged[:] = [x for x in _staged if x is not df]
+
+
+def staged_since(mark: int) -> list[DataFrame]:
+    """The staged tables beyond the first ``mark`` (staged_count() of then) that are still there."""
+    return _staged[mark:]
+
+
+def staged_count() -> int:
+    return len(_staged)
+
+
+@atexit.register
+def _clear() -> None:
+    """Results are lazy and may read staged tables to the end of the session; what is left goes then, if Spark still runs."""
+    for df in list(_staged):
+        if df.sparkSession.sparkContext._jsc is not None:
+            unstage(df)
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many more underscores in front as keep it apart from the columns of df (whatever their case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def ascii_lower(text: Column) -> Column:
@@ -62,6 +104,11 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """The same with plain names: mapInArrow takes no columns with dots in theirs."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def map_arrow(df: DataFrame, schema: str, f: Callable) -> DataFrame:
     """mapInArrow with a function from one record batch to a dict of columns of the schema."""
     from pyspark.sql.types import _parse_datatype_string
@@ -75,4 +122,4 @@ def map_arrow(df: DataFrame, schema: str, f: Callable) -> DataFrame:
                 out = f(b)
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
 
-    return df.mapInArrow(over, schema)
+    return positional(df).mapInArrow(over, schema)

@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and text length.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata (``n_chars``).
 
 The score is sigmoid(b + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)^2 - sum v_if^2 x_i^2]), the sum-of-squares identity
 that makes pairwise interactions linear in the features. It is fitted on the driver by Adam from at most ``bound``
@@ -6,7 +6,8 @@ labelled rows (a documented sample, taken by hash); executors send hashed featur
 whole. Labels, language, source and id are no inputs.
 
 Cases: null and empty texts get the score of no features, from 0 to 1. Repeated rows score alike. Without usable
-labels the model is the prior 0.5 for all. Other columns are carried along by the pipeline, left out by the query.
+labels the model is the prior 0.5 for all. Very long texts are
+scored whole. Other columns are carried along by score(), whatever their names; the query leaves them out.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import as_bytes, held_out, map_arrow, table
+from weftgraph.llm.common import as_bytes, free_name, held_out, map_arrow, positional, table
 from weftgraph.llm.labelled import FOLDS, training_rows
 
 BUCKETS, RANK, BOUND, THRESHOLD = 1 << 15, 8, 8000, 0.3
@@ -28,11 +29,11 @@ _classes = np.zeros((256, 6 + len(_marks)), np.float32)
 _classes[65:91, 0] = _classes[97:123, 1] = _classes[48:58, 2] = _classes[32, 3] = _classes[10, 4] = _classes[128:, 5] = 1
 for _i, _c in enumerate(_marks):
     _classes[_c, 6 + _i] = 5
-STRUCTURE = _classes.shape[1] + 8
+STRUCTURE = _classes.shape[1] + 10
 
 
-def features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values: structure first, then hashed words by their share."""
+def features(raw: bytes, said: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values: structure first, with the length that the metadata say, then hashed words by their share."""
     x = np.zeros(STRUCTURE, np.float32)
     words = raw.lower().split()
     n, size = len(words), len(raw)
@@ -50,6 +51,9 @@ def features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     x[s + 5] = np.log1p(n) / 10
     x[s + 6] = np.log1p(size) / 12
     x[s + 7] = not n
+    if said is not None:
+        x[s + 8] = np.log1p(max(said, 0)) / 12
+        x[s + 9] = said != size - np.count_nonzero(np.frombuffer(raw, np.uint8) >> 6 == 2)  # characters
     value = c.astype(np.float32)
     return np.concatenate([np.arange(STRUCTURE), u + STRUCTURE]).astype(np.int32), np.concatenate([x, value / max(np.sqrt(value @ value), 1)]).astype(np.float32)
 
@@ -101,34 +105,40 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rank: int = RA
     return Machine(bias, p[:, 0].copy(), p[:, 1:].copy())
 
 
+def _said(docs: DataFrame) -> Column:
+    """The metadata's length, null where the table has none."""
+    return (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).try_cast("bigint")
+
+
 def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND, text: str = "text") -> Machine:
     def seen(b: pa.RecordBatch) -> dict:
-        got = [features(raw) for raw in as_bytes(b.column(1))]
+        got = [features(raw, said) for raw, said in zip(as_bytes(b.column(1)), b.column(3).to_pylist(), strict=True)]
         return {"doc_id": b.column(0), "y": b.column(2), "at": [i.tobytes() for i, _ in got], "x": [x.tobytes() for _, x in got]}
 
-    sample = training_rows(docs, labels, "quality", bound, 11, text).select(F.col("doc_id").cast("string"), text, "y")
+    sample = training_rows(docs, labels, "quality", bound, 11, text, also={"said": _said(docs)}).select(F.col("doc_id").cast("string"), "text", "y", "said")
     rows = sorted(map(tuple, map_arrow(sample, "doc_id string, y int, at binary, x binary", seen).collect()))
     return fit([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows], np.array([r[1] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
-    """All rows with ``_score``, the probability of good quality."""
+    """All rows with a last column ``_score`` (see free_name), the probability of good quality."""
     held = docs.sparkSession.sparkContext.broadcast(machine)  # its size is fixed by BUCKETS and RANK
-    names = docs.columns
+    names, out = docs.columns, free_name(docs, "_score")
 
     def run(batches):
         for b in batches:
-            z = np.array([held.value.logit(*features(raw)) for raw in as_bytes(b.column(names.index(text)))], np.float64)
+            said = b.column(len(names)).to_pylist()
+            z = np.array([held.value.logit(*features(*x)) for x in zip(as_bytes(b.column(names.index(text))), said, strict=True)], np.float64)
             p = pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, p], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], p], names=[*names, out])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return positional(docs.select("*", _said(docs).alias(out))).mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))

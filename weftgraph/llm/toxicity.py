@@ -2,12 +2,13 @@
 
 A text's features are the hashed byte n-grams present in it (A-Z lower-cased, runs of white space as one space),
 each scaled by r = log of its smoothed share among toxic over that among other texts; a logistic regression with
-an L2 penalty, fitted by Adam, weights the scaled features. It learns on the driver from at most ``bound`` labelled rows (a documented
-sample, taken by hash; executors send hashed features). All rows are scored, whole. Labels, language, source and
+an L2 penalty, fitted by Adam, weights the scaled features. It learns on the driver from at most ``bound`` labelled rows of at
+most labelled.SAMPLE_BYTES of text (a documented sample, taken by hash; executors send hashed features). All rows are scored, whole. Labels, language, source and
 id are no inputs.
 
 Cases: null and empty texts have no features and get the bias. Repeated rows score alike. Without usable labels
-all score 0.5. Other columns are carried along by the pipeline, left out by the query.
+all score 0.5. Very long texts are
+scored whole. Other columns are carried along by score(), whatever their names; the query leaves them out.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import as_bytes, held_out, map_arrow, table
+from weftgraph.llm.common import as_bytes, free_name, held_out, map_arrow, positional, table
 from weftgraph.llm.labelled import FOLDS, training_rows
 
 BUCKETS, GRAMS, BOUND, THRESHOLD = 1 << 18, (4, 5), 5000, 0.5
@@ -88,26 +89,26 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND, text: str = "t
         steps = (np.diff(np.sort(features(raw)), prepend=0).astype("<i4") for raw in as_bytes(b.column(1)))
         return {"doc_id": b.column(0), "y": b.column(2), "at": [zlib.compress(x.tobytes(), 1) for x in steps]}
 
-    sample = training_rows(docs, labels, "toxic", bound, 13, text).select(F.col("doc_id").cast("string"), text, "y")
+    sample = training_rows(docs, labels, "toxic", bound, 13, text).select(F.col("doc_id").cast("string"), "text", "y")
     rows = sorted(map(tuple, map_arrow(sample, "doc_id string, y int, at binary", seen).collect()))
     return fit([np.cumsum(np.frombuffer(zlib.decompress(r[2]), "<i4"), dtype=np.int32) for r in rows], np.array([r[1] for r in rows], np.float64))
 
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray], text: str = "text") -> DataFrame:
-    """All rows with ``_score``, the probability of toxicity."""
+    """All rows with a last column ``_score`` (see free_name), the probability of toxicity."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     held = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS
-    names = docs.columns
+    names, out = docs.columns, free_name(docs, "_score")
 
     def run(batches):
         bias, w = held.value
         for b in batches:
             z = np.array([bias + float(w[features(raw)].sum()) for raw in as_bytes(b.column(names.index(text)))], np.float64)
             p = pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, p], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, p], names=[*names, out])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return positional(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
