@@ -10,7 +10,8 @@ joined, by broadcast up to ``broadcast_runs`` members and else by a shuffle. One
 of documents with hits only; what follows is as large as the hits.
 
 Cases: null or empty text: no words, not contaminated. Items without words have no windows; items without an id
-contaminate but are not listed. Repeated rows are judged one by one. Other columns are carried along.
+contaminate but are not listed. Repeated rows are judged one by one. Very long texts are scanned to their end. Other
+columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import ascii_lower, stage, table
+from weftgraph.llm.common import ascii_lower, free_name, quoted, stage, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH, LITERAL_RUNS, BROADCAST_RUNS = 13, 50_000, 2_000_000
@@ -43,13 +44,19 @@ def upto(last: Column, step: int = 1) -> Column:
 
 def benchmark_windows(bench: DataFrame, width: int, item: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct (item, m, gram, run hashes) of all windows."""
-    words = bench.select(F.col(item).cast("string").alias("item"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
+    words = bench.select(quoted(item).cast("string").alias("item"), words_of(quoted(text)).alias("words")).where(F.size("words") > 0)
     words = words.withColumn("m", F.least(F.size("words"), F.lit(width)))
     return words.select("item", "m", F.explode(F.transform(upto(F.size("words") - F.col("m")), lambda i: F.slice("words", i + 1, F.col("m")))).alias("window")).distinct()
 
 
+def names(docs: DataFrame) -> tuple[str, str, str]:
+    """What hits() calls its columns on this table."""
+    return free_name(docs, "_n_words"), free_name(docs, "_hit"), free_name(docs, "_items")
+
+
 def hits(docs: DataFrame, bench: DataFrame, text: str = "text", width: int = WIDTH, literal_runs: int = LITERAL_RUNS, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
-    """Every row of docs with ``_n_words``, ``_hit`` (sorted word positions inside windows) and ``_items`` (sorted ids)."""
+    """Every row of docs without its text, with the number of words, the sorted positions of those inside windows, and
+    the sorted ids of items; see names()."""
     windows = stage(benchmark_windows(bench, width), "bench-windows")
     sizes = [r["m"] for r in windows.select("m").distinct().orderBy("m").collect()]
     runs = None
@@ -59,7 +66,7 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", width: int = WID
         runs = found if runs is None else runs.union(found)
     n_runs = runs.distinct().count() if sizes else 0
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("record"), words_of(F.col(text)).alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*([quoted(c) for c in docs.columns if c != text] or [F.lit(0)])).alias("record"), words_of(quoted(text)).alias("words"))
     rows = rows.withColumn("n", F.size("words"))
     places = {m: upto(F.col("n") - (m // 2 + 1), (m + 1) // 2) for m in sizes}
     if n_runs <= literal_runs:
@@ -99,35 +106,42 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", width: int = WID
         per = spans.join(items, "rid", "left")
     out = scanned.select("rid", "record", "_n_words").join(per, "rid", "left")
     lists = [F.coalesce(c, F.expr(f"cast(array() as array<{kind}>)")).alias(c) for c, kind in (("_hit", "int"), ("_items", "string"))]
-    return out.select(*[F.col(f"record.`{c}`") for c in light], "_n_words", *lists)
+    return out.select(*[F.col("record")[c].alias(c) for c in light], *[c.alias(n) for c, n in zip((F.col("_n_words"), *lists), names(docs), strict=True)])
 
 
-def contaminated() -> Column:
+def contaminated(n_words: str = "_n_words", hit: str = "_hit") -> Column:
     """At least a twentieth of the words lie in benchmark windows."""
-    return (F.size("_hit") > 0) & (20 * F.size("_hit") >= F.col("_n_words"))
+    return (F.size(hit) > 0) & (20 * F.size(hit) >= F.col(n_words))
+
+
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, digest, text): a document is known by its key and the digest of its text."""
+    digest = F.sha2(F.coalesce(quoted(text), F.lit("")).cast("binary"), 256)
+    return docs.select(quoted(key).alias("id"), digest.alias("digest"), quoted(text).alias("text"))
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("_text_key", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+def _same(docs: DataFrame, found: DataFrame, key: str, text: str) -> Column:
+    digest = F.sha2(F.coalesce(quoted(text), F.lit("")).cast("binary"), 256)
+    return digest.eqNullSafe(F.col(found.columns[1])) & quoted(key).eqNullSafe(F.col(found.columns[0]))
 
 
 def drop_documents(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that aren't contaminated, unchanged. A document is known by its key and the digest of its text."""
-    keyed = _keyed(docs, text)
-    bad = hits(keyed, bench, text).where(contaminated()).select(F.col(key).alias("_bad"), F.col("_text_key").alias("_bad_text")).distinct()
-    return keyed.join(bad, F.col("_bad_text").eqNullSafe(F.col("_text_key")) & F.col("_bad").eqNullSafe(F.col(key)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = hits(_keyed(docs, key, text), bench).where(contaminated()).select(F.col("id").alias(free_name(docs, "_id")), F.col("digest").alias(free_name(docs, "_digest"))).distinct()
+    return docs.join(bad, _same(docs, bad, key, text), "left_anti")
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All documents; words inside benchmark windows go, with the separators before them."""
-    keyed = _keyed(docs, text)
-    spans = hits(keyed, bench, text).where(F.size("_hit") > 0).groupBy(F.col(key).alias("_at"), F.col("_text_key").alias("_at_text")).agg(F.first("_hit").alias("_cut"))
-    low = ascii_lower(F.col(text))
-    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    at, at_digest, cut = free_name(docs, "_id"), free_name(docs, "_digest"), free_name(docs, "_cut")
+    spans = hits(_keyed(docs, key, text), bench).where(F.size("_hit") > 0)
+    spans = spans.groupBy(F.col("id").alias(at), F.col("digest").alias(at_digest)).agg(F.first("_hit").alias(cut))
+    low = ascii_lower(quoted(text))
+    pieces = F.regexp_extract_all(quoted(text), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     tail = F.regexp_extract(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*$", 0)
-    kept = F.concat(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("_cut", i)), ""), tail)
-    out = keyed.join(spans, F.col("_at_text").eqNullSafe(F.col("_text_key")) & F.col("_at").eqNullSafe(F.col(key)), "left")
-    return out.select(*[F.when(F.col("_cut").isNotNull(), kept).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    kept = F.concat(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col(cut), i)), ""), tail)
+    out = docs.join(spans, _same(docs, spans, key, text), "left")
+    return out.select(*[F.when(F.col(cut).isNotNull(), kept).otherwise(quoted(c)).alias(c) if c == text else quoted(c) for c in docs.columns])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
