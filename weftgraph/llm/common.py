@@ -38,7 +38,14 @@ def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    # Nothing reads the shuffles behind a staged table again, so their files go as soon as it is written.
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.weft_path = path
     _staged.append(out)
