@@ -66,6 +66,11 @@ FROM (
          CASE o_orderstatus WHEN 'O' THEN 'IMPLEMENTS_MEMBER' ELSE 'OVERRIDES_MEMBER' END, NULL, NULL, 'tpch'
     FROM (SELECT o_orderkey, o_orderstatus, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first_key FROM orders) f
     WHERE o_orderkey <> first_key AND o_orderstatus <> 'F'
+  UNION ALL SELECT concat('tpch:default:orders/', o_orderkey), concat('tpch:default:orders/', o_orderkey % 997 + 1),
+         CASE WHEN o_orderkey % 2 = 0 THEN 'CALLS' ELSE 'REFERENCES' END, CAST(o_custkey AS BIGINT), 1, 'tpch'
+    FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey > 997
+  UNION ALL SELECT concat('tpch:default:orders/', o_orderkey), concat('tpch:default:nation/', o_custkey % 25),
+         'IMPLEMENTS', NULL, NULL, 'tpch' FROM orders WHERE o_orderkey % 53 = 0
   UNION ALL SELECT concat('tpch:default:orders/', o_orderkey), 'external.Unresolved', 'CALLS', 0, 0, 'tpch'
     FROM orders WHERE o_orderkey % 97 = 0
 ) raw

@@ -426,7 +426,7 @@ m AS (SELECT id AS root, id AS node FROM nodes WHERE type = 'Method' UNION SELEC
 
 @query(_FAMILY + " SELECT root, node FROM m", keep=True)
 def method_family(g: Graph) -> DataFrame:
-    return traverse.method_family(g.nodes, g.edges, _heads(g)).select("root", "node")
+    return traverse.method_family(g.nodes, g.edges, _heads(g))
 
 
 @query(_FAMILY + f" SELECT DISTINCT root, node FROM m JOIN edges ON target_id = node WHERE {USAGE} AND {RESOLVED}", keep=True)
@@ -437,7 +437,7 @@ def statically_bound_targets(g: Graph) -> DataFrame:
 @query(_FAMILY + f""", u AS (SELECT DISTINCT source_id AS s, target_id AS t FROM edges WHERE {USAGE} AND {RESOLVED}), d1 AS (SELECT DISTINCT m.root, s AS node FROM m JOIN u ON t = node WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.root = m.root AND x.node = s))
 SELECT root, node, CAST(1 AS INTEGER) AS distance FROM d1""", keep=True)
 def family_used_by(g: Graph) -> DataFrame:
-    return traverse.family_used_by(g.nodes, g.edges, _heads(g), 1).select("root", "node", "distance")
+    return traverse.family_reach(g.nodes, g.edges, _heads(g), 1)
 
 
 @query(keep=True)

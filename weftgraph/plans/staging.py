@@ -2,13 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
+_tables: list[tuple[DataFrame, str]] = []
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+
+def shared_dir(df: DataFrame) -> str:
+    """The checkpoint folder of the session; one of our own only where driver and executors are one machine."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
-    return df.checkpoint()
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="weftgraph-")
+        sc.setCheckpointDir(path)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written as Parquet and reread: later plans prune its columns and choose joins by its real size, and a lost executor
+    costs nothing."""
+    path = f"{shared_dir(df)}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables.append((out, path))
+    return out
+
+
+@atexit.register
+def _clear() -> None:
+    """Results are lazy and may read their tables to the end of the session; they go then, if Spark still runs."""
+    for df, path in _tables:
+        sc = df.sparkSession.sparkContext
+        if sc._jsc is not None:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
