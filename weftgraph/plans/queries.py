@@ -453,32 +453,77 @@ def bindings(g: Graph) -> DataFrame:
     return traverse.bindings(g.nodes, g.edges, _heads(g)).select("root", "caller", F.array_join("bindings", ",").alias("bindings"))
 
 
-_TESTED = f""", u AS (SELECT source_id AS s, target_id AS t, type FROM edges WHERE {USAGE} AND {RESOLVED}), tests AS (SELECT id, file_path, {TEST_METHOD} AS is_method FROM nodes WHERE {TEST_PATH}),
-r AS (SELECT id AS root FROM nodes),
-w AS (SELECT root, root AS node, 0 AS d FROM r UNION SELECT root, s, d + 1 FROM w JOIN u ON t = node WHERE d < 5), f AS (SELECT root, node, min(d) AS d FROM w GROUP BY 1, 2),
-e AS (SELECT root, file_path AS file, CASE type WHEN 'IMPLEMENTS' THEN 'testImplementer' ELSE 'testReference' END AS evidence, NULL AS method, s AS source FROM r JOIN u ON t = root JOIN tests ON id = s
-UNION SELECT root, file_path, 'directCall', s, NULL FROM r JOIN u ON t = root JOIN tests ON id = s WHERE is_method AND type IN ('CALLS', 'MOCK_CALLS')
-UNION SELECT root, file_path, CASE d WHEN 1 THEN 'testReference' ELSE 'indirectReference' END, node, NULL FROM f JOIN tests ON id = node WHERE is_method AND d > 0)"""
-
-
-def _evidence(g: Graph) -> tuple[DataFrame, DataFrame]:
-    return evidence.evidence(g.nodes, g.edges, g.nodes), g.nodes
+_SHORT = "concat('test', replace(replace(replace(replace(replace(lower(name), 'get', ''), 'set', ''), 'create', ''), 'update', ''), 'delete', ''))"
+_TESTED = _FAMILY + f""", fam AS (SELECT root, node FROM m UNION SELECT id, id FROM nodes WHERE type <> 'Method'),
+u AS (SELECT source_id AS s, target_id AS t, type FROM edges WHERE {USAGE} AND {RESOLVED}), tests AS (SELECT id, name, signature, type, file_path, {TEST_METHOD} AS is_method FROM nodes WHERE {TEST_PATH}),
+w AS (SELECT id AS test, id AS node, 0 AS d FROM tests WHERE is_method UNION SELECT test, u.t, d + 1 FROM w JOIN u ON u.s = node WHERE d < 5), f AS (SELECT test, node, min(d) AS d FROM w WHERE d > 0 AND node <> test GROUP BY 1, 2),
+far AS (SELECT fam.root, f.test, min(f.d) AS d FROM f JOIN fam ON fam.node = f.node WHERE NOT EXISTS (SELECT 1 FROM fam x WHERE x.root = fam.root AND x.node = f.test) GROUP BY 1, 2),
+g AS (SELECT root, file_path AS file, CASE type WHEN 'IMPLEMENTS' THEN 'testImplementer' ELSE 'testReference' END AS evidence, NULL AS method, s AS source FROM fam JOIN (SELECT u.s, u.t, u.type FROM u) e ON e.t = node JOIN (SELECT id, file_path FROM tests) x ON x.id = s
+UNION SELECT root, file_path, CASE WHEN root = node THEN 'directCall' ELSE 'potentialDispatch' END, s, NULL FROM fam JOIN (SELECT s, t FROM u WHERE type IN ('CALLS', 'MOCK_CALLS')) e ON e.t = node JOIN tests ON id = s WHERE is_method
+UNION SELECT r.id, x.file_path, 'memberCall', s, NULL FROM nodes r JOIN edges c ON c.source_id = r.id AND upper(c.type) IN ('HAS_METHOD','HAS_PROPERTY','HAS_FIELD','CONTAINS') JOIN (SELECT s, t FROM u WHERE type IN ('CALLS', 'MOCK_CALLS')) e ON e.t = c.target_id JOIN tests x ON x.id = s WHERE x.is_method AND r.type <> 'Method'
+UNION SELECT root, file_path, CASE d WHEN 1 THEN 'testReference' ELSE 'indirectReference' END, test, test FROM far JOIN tests ON id = test),
+names AS (SELECT DISTINCT lower(name) AS low, {_SHORT} AS short FROM nodes WHERE name <> ''),
+tm AS (SELECT id, file_path AS file, lower(name) AS name, lower(signature) AS sig, lower(regexp_extract(file_path, '([^/]*)[.][^./]*$', 1)) AS stem FROM tests WHERE is_method AND type = 'Method'),
+hm AS (SELECT low, file, id FROM tm JOIN names ON contains(name, low) OR contains(name, short) OR contains(sig, low) OR contains(stem, low)),
+tf AS (SELECT file_path AS file, count(*) AS n, lower(regexp_extract(file_path, '([^/]*)$', 1)) AS base FROM tests GROUP BY 1),
+hf AS (SELECT low, file FROM tf JOIN names ON contains(base, low) UNION SELECT low, file FROM hm),
+hc AS (SELECT low, file FROM (SELECT low, file, coalesce(sum(n) OVER (PARTITION BY low ORDER BY upper(file) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hf JOIN tf USING (file)) x WHERE before < 10),
+h AS (SELECT id AS root, file FROM nodes JOIN hc ON low = lower(name)),
+e AS (SELECT * FROM g UNION SELECT root, file, 'namingHeuristic', NULL, NULL FROM h
+UNION SELECT n.id, hm.file, 'heuristicMethod', hm.id, NULL FROM nodes n JOIN hm ON low = lower(n.name) WHERE (n.id, hm.file) IN (SELECT root, file FROM g UNION SELECT root, file FROM h) AND (n.id, hm.file, hm.id) NOT IN (SELECT root, file, method FROM g WHERE method IS NOT NULL))"""
+
+
+def _evidence(g: Graph) -> DataFrame:
+    return evidence.evidence(g.nodes, g.edges, g.nodes)
 
 
 @query(_TESTED + " SELECT root, file, evidence, CAST(count(DISTINCT method) AS BIGINT) AS methods FROM e GROUP BY 1, 2, 3", keep=True)
 def test_evidence_files(g: Graph) -> DataFrame:
-    return _evidence(g)[0].groupBy("root", "file", "evidence").agg(F.count_distinct("method").alias("methods"))
+    return _evidence(g).groupBy("root", "file", "evidence").agg(F.count_distinct("method").alias("methods"))
 
 
-@query(_TESTED + """, s AS (SELECT root, bool_or(evidence IN ('directCall', 'memberCall')) AS directly_tested, count(DISTINCT CASE WHEN evidence = 'testReference' THEN source END) AS refs, count(DISTINCT CASE WHEN evidence = 'testImplementer' THEN source END) AS imps, count(DISTINCT file) AS fs FROM e GROUP BY root)
-SELECT r.root, coalesce(directly_tested, false) AS directly_tested, CAST(coalesce(refs, 0) AS BIGINT) AS "references", CAST(coalesce(imps, 0) AS BIGINT) AS implementers, CAST(coalesce(fs, 0) AS BIGINT) AS files, coalesce(directly_tested, false) OR coalesce(refs, 0) > 0 OR coalesce(imps, 0) > 0 AS is_tested FROM r LEFT JOIN s ON r.root = s.root""", keep=True)
+@query(_TESTED + """, s AS (SELECT root, bool_or(evidence IN ('directCall', 'memberCall')) AS directly_tested, count(DISTINCT CASE WHEN evidence IN ('testReference', 'indirectReference') THEN source END) AS refs, count(DISTINCT CASE WHEN evidence = 'testImplementer' THEN source END) AS imps, count(DISTINCT CASE WHEN evidence = 'heuristicMethod' THEN concat(file, ' ', method) END) AS heus, count(DISTINCT file) AS fs FROM e GROUP BY root)
+SELECT r.id AS root, coalesce(directly_tested, false) AS directly_tested, CAST(coalesce(refs, 0) AS BIGINT) AS "references", CAST(coalesce(imps, 0) AS BIGINT) AS implementers, CAST(coalesce(heus, 0) AS BIGINT) AS heuristics, CAST(coalesce(fs, 0) AS BIGINT) AS files, coalesce(directly_tested, false) OR coalesce(refs, 0) > 0 OR coalesce(imps, 0) > 0 OR coalesce(heus, 0) > 0 AS is_tested FROM nodes r LEFT JOIN s ON r.id = s.root""", keep=True)
 def test_evidence_summary(g: Graph) -> DataFrame:
-    return evidence.summary(*_evidence(g))
+    return evidence.summary(_evidence(g), g.nodes)
+
+
+def _tagged(tag: str) -> str:
+    return _TESTED + f" SELECT root, file, method FROM e WHERE evidence = '{tag}'"
 
 
-@query(_TESTED + " SELECT root, file, method FROM e WHERE evidence = 'indirectReference'", keep=True)
+def _tag(g: Graph, tag: str) -> DataFrame:
+    tests = checkpointed(evidence.test_symbols(g.nodes))
+    return evidence.graph_evidence(g.nodes, g.edges, g.nodes, tests).where(F.col("evidence") == tag).select("root", "file", "method").distinct()
+
+
+@query(_tagged("indirectReference"), keep=True)
 def indirect_tests(g: Graph) -> DataFrame:
-    return _evidence(g)[0].where("evidence = 'indirectReference'").select("root", "file", "method")
+    return _tag(g, "indirectReference")
+
+
+@query(_tagged("memberCall"), keep=True)
+def member_call_tests(g: Graph) -> DataFrame:
+    return _tag(g, "memberCall")
+
+
+@query(_tagged("potentialDispatch"), keep=True)
+def potential_dispatch_tests(g: Graph) -> DataFrame:
+    return _tag(g, "potentialDispatch")
+
+
+@query(_tagged("heuristicMethod"), keep=True)
+def heuristic_tests(g: Graph) -> DataFrame:
+    return _evidence(g).where("evidence = 'heuristicMethod'").select("root", "file", "method")
+
+
+@query(_TESTED + """, fl AS (SELECT root, file, string_agg(DISTINCT CASE WHEN evidence <> 'heuristicMethod' THEN evidence END, ',' ORDER BY CASE WHEN evidence <> 'heuristicMethod' THEN evidence END) AS evidence, count(DISTINCT method) AS test_count FROM e GROUP BY 1, 2),
+fp AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY upper(file), file) AS file_place, count(*) OVER (PARTITION BY root) AS file_count FROM fl),
+mp AS (SELECT root, file, method, row_number() OVER (PARTITION BY root, file ORDER BY start_line, method) AS place FROM (SELECT DISTINCT root, file, method FROM e WHERE method IS NOT NULL) x JOIN (SELECT id, start_line FROM nodes) n ON n.id = method)
+SELECT fp.root, fp.file, fp.evidence, mp.method, CAST(mp.place AS INTEGER) AS place, CAST(test_count AS BIGINT) AS test_count, CAST(file_place AS INTEGER) AS file_place, CAST(file_count AS BIGINT) AS file_count FROM fp LEFT JOIN mp ON fp.root = mp.root AND fp.file = mp.file AND place <= 5 WHERE file_place <= 5""", keep=True)
+def test_file_caps(g: Graph) -> DataFrame:
+    out = evidence.test_files(_evidence(g), g.nodes)
+    return out.withColumn("evidence", F.array_join("evidence", ",")).select("root", "file", "evidence", "method", "place", "test_count", "file_place", "file_count")
 
 
 def queries() -> dict[str, Query]:
