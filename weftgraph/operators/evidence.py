@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.expr import CONTAINMENT, fold, is_test_method, is_test_path, is_usage, path_key
+from weftgraph.operators.resolve import parts_found
 from weftgraph.operators.traverse import families, heads_of, members_of, reach, resolved
 from weftgraph.plans.staging import checkpointed
 
@@ -73,19 +74,6 @@ def _named(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.coalesce("name", F.lit("")) != "").select(F.col("id").alias("root"), low.alias("low"), F.concat(F.lit("test"), short).alias("short"))
 
 
-def parts_found(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Distinct (text, name) of which the text holds the name; both lower-cased. A row per distinct length of a name goes
-    through the driver."""
-    lengths = [r[0] for r in names.select(F.char_length("name")).distinct().collect()]
-    if not lengths:
-        return texts.join(names).limit(0)
-    size = F.char_length("text")
-    own = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= size)
-    parts = F.flatten(F.transform(own, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.col("text").substr(i, n))))
-    cut = texts.distinct().select("text", F.explode(F.array_distinct(parts)).alias("name"))
-    return cut.join(names.distinct(), "name").select("text", "name")
-
-
 def naming(tests: DataFrame, roots: DataFrame, nodes_at_most: int | None = HEURISTIC_NODES) -> tuple[DataFrame, DataFrame]:
     """((root, key, file) of test files that may hold tests of a root by their names or methods; (root, key, file, method)
     of the test methods of any test file that do). ``nodes_at_most``: how many symbols of such files are looked at, in the

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.expr import RELATIONS, containing_type, fold, is_test_path, path_key, shown, type_rank
+from weftgraph.functions.expr import LANGUAGES, RELATIONS, containing_type, fold, is_test_path, path_key, shown, type_rank
 
 
 def match_exact(nodes: DataFrame, name: str, kind: str | None = None) -> DataFrame:
@@ -17,16 +17,68 @@ def match_substring(nodes: DataFrame, text: str) -> DataFrame:
     return nodes.where(fold("name").contains(F.upper(F.lit(text))))
 
 
+def parts_found(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct (text, name) of which the text holds the name. Every part of a text that is as long as some name is looked
+    up by an equi-join, so no name meets a text that it isn't in; a row per distinct length of a name goes through the driver."""
+    lengths = [r[0] for r in names.where("name <> ''").select(F.char_length("name")).distinct().collect()]
+    size = F.char_length("text")
+    own = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= size)
+    parts = F.flatten(F.transform(own, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.col("text").substr(i, n))))
+    cut = texts.distinct().select("text", F.explode(F.array_distinct(parts)).alias("name"))
+    return cut.join(names.distinct(), "name").select("text", "name")
+
+
 def match_cascade(nodes: DataFrame, requests: DataFrame) -> DataFrame:
-    """For each request (req, query) the nodes of the first tier that has any: identity, exact name, substring.
-    Identity and name are equi-joins; the substring join runs only against requests that neither has answered."""
+    """For each request (req, query) the nodes of the first tier that has any: identity, exact name, substring. All
+    three are equi-joins; the last runs only for requests that the others haven't answered."""
     asked = requests.select("req", "query")
     identity = asked.join(nodes, F.col("query") == F.col("identifier")).withColumn("match_mode", F.lit("identity"))
     rest = asked.join(identity.select("req").distinct(), "req", "left_anti")
     exact = rest.join(nodes, fold("query") == fold("name")).withColumn("match_mode", F.lit("exact"))
     rest = rest.join(exact.select("req").distinct(), "req", "left_anti")
-    part = nodes.join(F.broadcast(rest), fold("name").contains(fold("query"))).withColumn("match_mode", F.lit("substring"))
-    return identity.unionByName(exact).unionByName(part)
+    return identity.unionByName(exact).unionByName(match_parts(nodes, rest).withColumn("match_mode", F.lit("substring")))
+
+
+def match_parts(nodes: DataFrame, requests: DataFrame) -> DataFrame:
+    """(req, query, and the node) of nodes whose names hold a request's text, whatever the case."""
+    found = parts_found(nodes.select(fold("name").alias("text")).where("text <> ''"), requests.select(fold("query").alias("name")))
+    out = requests.select("req", "query").join(found, fold("query") == found["name"]).select("req", "query", "text")
+    return out.join(nodes, F.col("text") == fold("name")).drop("text")
+
+
+def match_paths(nodes: DataFrame, requests: DataFrame) -> DataFrame:
+    """The same of nodes whose file a request names: a rooted path whole, another whole or after a slash. Nodes offer
+    each of their path's ends."""
+    wanted = requests.select("req", "query", path_key("query").alias("key"), F.col("query").startswith("/").alias("rooted"))
+    parts = F.split("p", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), "/").alias("key"), (i == 1).alias("whole")))
+    files = nodes.where("file_path <> ''").select(path_key("file_path").alias("p")).distinct().select("p", F.explode(ends).alias("x")).select("p", "x.*")
+    met = wanted.join(files, "key").where("whole or not rooted").select("req", "query", "p").distinct()
+    return met.join(nodes, F.col("p") == path_key("file_path")).drop("p")
+
+
+def is_file_path(text: Column, extensions: tuple[str, ...] = tuple(LANGUAGES)) -> Column:
+    """Text that names a file rather than a symbol: it has a slash, or an extension that a language owns."""
+    return text.contains("/") | text.contains("\\") | F.lower(F.regexp_extract(text, r"\.([^./\\]*)$", 1)).isin(*extensions)
+
+
+def find_candidates(nodes: DataFrame, requests: DataFrame, exact: bool | None = None, **filters: str | None) -> DataFrame:
+    """(req, query, match_mode, and the node): an identity first, and only it, though a filter may reject it; then paths;
+    then names, exactly or by part (exact None: by part where no name is exact). Filters hold at every step."""
+    asked = requests.select("req", "query")
+    known = asked.join(nodes, F.col("query") == F.col("identifier"))
+    rest = asked.join(known.select("req").distinct(), "req", "left_anti")
+    paths, names = rest.where(is_file_path(F.col("query"))), rest.where(~is_file_path(F.col("query")))
+    own = candidate_filters(nodes, **filters)
+    out = candidate_filters(known, **filters).withColumn("match_mode", F.lit("identity"))
+    out = out.unionByName(match_paths(own, paths).withColumn("match_mode", F.lit("filePath")))
+    if exact is not False:
+        same = names.join(own, fold("query") == fold("name"))
+        out = out.unionByName(same.withColumn("match_mode", F.lit("exact")))
+        names = names.join(same.select("req").distinct(), "req", "left_anti")
+    if not exact:
+        out = out.unionByName(match_parts(own, names).withColumn("match_mode", F.lit("substring")))
+    return out
 
 
 def candidate_filters(nodes: DataFrame, kind: str | None = None, containing: str | None = None, namespace: str | None = None, signature: str | None = None, file: str | None = None) -> DataFrame:
@@ -61,14 +113,17 @@ def topk_with_totals(df: DataFrame, group: list[str], order: list[Column], k: in
 
 
 def facets(candidates: DataFrame, root: str, most: int = 10) -> DataFrame:
-    """(facet, value, n): counts by type and by display path, ignoring case; paths are the first `most` by count."""
+    """(facet, value, n, place, total): counts by type and by display path, ignoring case; paths are the first `most` by
+    count, total says how many there are."""
     from weftgraph.functions.expr import display_path
 
     kinds = candidates.select(F.lit("type").alias("facet"), F.coalesce("type", F.lit("Unknown")).alias("v"))
     paths = candidates.select(F.lit("file").alias("facet"), display_path("file_path", root).alias("v"))
+    paths = paths.where("v <> ''")
     n = kinds.union(paths).groupBy("facet", fold("v").alias("key")).agg(F.min("v").alias("value"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "key"))
-    return n.withColumn("place", place).where((F.col("facet") == "type") | (F.col("place") <= most)).select("facet", "value", "n", "place")
+    own = Window.partitionBy("facet")
+    out = n.withColumn("place", F.row_number().over(own.orderBy(F.desc("n"), "key"))).withColumn("total", F.count("*").over(own))
+    return out.where((F.col("facet") == "type") | (F.col("place") <= most)).select("facet", "value", "n", "place", "total")
 
 
 def relation_kinds(relation: str | None) -> list[str] | None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import expr as X
-from weftgraph.operators import commit, evidence, files, resolve, stats, traverse
+from weftgraph.operators import commit, context, evidence, files, resolve, stats, traverse
 from weftgraph.plans.adapter import EDGES_SQL, NODES_SQL, Graph, star_graph
 from weftgraph.plans.staging import checkpointed
 from weftgraph.sources import ignore
@@ -91,8 +91,8 @@ def rank_candidates(g: Graph) -> DataFrame:
 
 
 @query(""", v AS (SELECT 'type' AS facet, coalesce(type, 'Unknown') AS v FROM nodes UNION ALL SELECT 'file', CASE WHEN starts_with(file_path, '/wh/') THEN substr(file_path, 5) ELSE file_path END FROM nodes),
-c AS (SELECT facet, min(v) AS value, count(*) AS n, row_number() OVER (PARTITION BY facet ORDER BY count(*) DESC, upper(v)) AS place FROM v GROUP BY facet, upper(v))
-SELECT facet, value, CAST(n AS BIGINT) AS n, CAST(place AS INTEGER) AS place FROM c WHERE facet = 'type' OR place <= 10""")
+c AS (SELECT facet, min(v) AS value, count(*) AS n, count(*) OVER (PARTITION BY facet) AS total, row_number() OVER (PARTITION BY facet ORDER BY count(*) DESC, upper(v)) AS place FROM v GROUP BY facet, upper(v))
+SELECT facet, value, CAST(n AS BIGINT) AS n, CAST(place AS INTEGER) AS place, CAST(total AS BIGINT) AS total FROM c WHERE facet = 'type' OR place <= 10""")
 def facets(g: Graph) -> DataFrame:
     return resolve.facets(g.nodes, "/wh")
 
@@ -526,6 +526,105 @@ def test_file_caps(g: Graph) -> DataFrame:
     return out.withColumn("evidence", F.array_join("evidence", ",")).select("root", "file", "evidence", "method", "place", "test_count", "file_place", "file_count")
 
 
+_REQUESTS = f"(SELECT 1 AS req, 'ship:part/7' AS query UNION ALL SELECT 2, {NAME} UNION ALL SELECT 3, 'ring' UNION ALL SELECT 4, 'nothing like it' UNION ALL SELECT 5, 'tests/ordertests7.cs' UNION ALL SELECT 6, 'ASIA')"
+_FOUND = f""", requests AS {_REQUESTS},
+idn AS (SELECT r.req, r.query, n.*, 'identity' AS match_mode FROM requests r JOIN nodes n ON query = identifier),
+pth AS (SELECT r.req, r.query, n.*, 'filePath' AS match_mode FROM requests r JOIN nodes n ON upper(file_path) LIKE concat('%/', upper(query)) WHERE contains(query, '/') AND req NOT IN (SELECT req FROM idn)),
+ex AS (SELECT r.req, r.query, n.*, 'exact' AS match_mode FROM requests r JOIN nodes n ON upper(query) = upper(name) WHERE NOT contains(query, '/') AND req NOT IN (SELECT req FROM idn)),
+sb AS (SELECT r.req, r.query, n.*, 'substring' AS match_mode FROM requests r JOIN nodes n ON contains(upper(name), upper(query)) WHERE NOT contains(query, '/') AND req NOT IN (SELECT req FROM idn UNION SELECT req FROM ex)),
+fnd AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY CASE WHEN upper(name) = upper(query) THEN 0 ELSE 1 END, {TEST_PATH}, {TYPE_RANK}, upper(file_path), start_line, identifier, id) AS place, count(*) OVER (PARTITION BY req) AS total
+  FROM (SELECT * FROM idn UNION ALL SELECT * FROM pth UNION ALL SELECT * FROM ex UNION ALL SELECT * FROM sb) x),
+kinds AS (SELECT req, string_agg(concat(type, ' (', n, ')'), ', ' ORDER BY n DESC, upper(type)) AS types FROM (SELECT req, type, n FROM (SELECT req, type, count(*) AS n, row_number() OVER (PARTITION BY req ORDER BY count(*) DESC, upper(type)) AS p FROM fnd GROUP BY req, type) y WHERE p <= 3) z GROUP BY req),
+dis AS (SELECT f.req, CASE WHEN match_mode = 'filePath' THEN 'File contains multiple symbols. Specify ''type'' or a symbol name to expand one.'
+  WHEN total <= 5 THEN concat('Multiple matches found. Pass identifier=''', identifier, ''' unchanged, or use containingType, namespace, signature, or sourceFile.')
+  ELSE concat(total, ' matches found. Narrow with type (', types, '), containingType, namespace, signature, or sourceFile.', CASE WHEN match_mode = 'substring' THEN ' Or set exact=true to require an exact name.' ELSE '' END) END AS hint FROM fnd f JOIN kinds k ON f.req = k.req WHERE place = 1 AND total > 1),
+mis AS (SELECT req, concat('No matches found for identifier ''', query, '''') AS hint FROM requests WHERE req NOT IN (SELECT req FROM fnd)),
+tgt AS (SELECT req, CAST(place AS INTEGER) AS place, id, name, type, CASE WHEN starts_with(file_path, '/wh/') THEN substr(file_path, 5) ELSE file_path END AS file, start_line + 1 AS line, regexp_replace(trim(signature), '\\s+', ' ', 'g') AS signature, identifier FROM fnd WHERE place <= 5),
+ans AS (SELECT r.req, coalesce(min(match_mode), 'substring') AS match_mode, coalesce(min(match_mode), '') = 'exact' AS substring_skipped, CAST(count(f.id) AS BIGINT) AS total, count(f.id) > 1 AS ambiguous, CAST(least(count(f.id), 5) AS BIGINT) AS returned, count(f.id) > 5 AS truncated, min(h.hint) AS hint
+  FROM requests r LEFT JOIN fnd f ON r.req = f.req LEFT JOIN (SELECT * FROM dis UNION ALL SELECT * FROM mis) h ON r.req = h.req GROUP BY r.req)"""
+
+
+def _asked(g: Graph) -> DataFrame:
+    rows = [(1, "ship:part/7"), (2, _first_part(g)), (3, "ring"), (4, "nothing like it"), (5, "tests/ordertests7.cs"), (6, "ASIA")]
+    return g.nodes.sparkSession.createDataFrame(rows, "req int, query string")
+
+
+def _candidates(g: Graph, **filters: str) -> DataFrame:
+    return context.ranked(resolve.find_candidates(g.nodes, _asked(g), **filters))
+
+
+@query(_FOUND + " SELECT req, id, match_mode, CAST(place AS INTEGER) AS place, CAST(total AS BIGINT) AS total FROM fnd", keep=True)
+def find_candidates(g: Graph) -> DataFrame:
+    return _candidates(g).select("req", "id", "match_mode", "place", "total")
+
+
+@query(_FOUND + " SELECT * FROM ans", keep=True)
+def multi_context(g: Graph) -> DataFrame:
+    return context.compact_context(g, _asked(g), context.Options(root_path="/wh")).answers
+
+
+@query(_FOUND + " SELECT * FROM tgt", keep=True)
+def compact_context(g: Graph) -> DataFrame:
+    return context.compact_context(g, _asked(g), context.Options(root_path="/wh")).targets
+
+
+@query(_FOUND + " SELECT * FROM dis", keep=True)
+def disambiguation_hint(g: Graph) -> DataFrame:
+    return context.disambiguation_hint(_candidates(g))
+
+
+@query(_FOUND + """, fc AS (SELECT req FROM fnd WHERE type = 'Interface'), k5 AS (SELECT req, string_agg(concat(type, ' (', n, ')'), ', ' ORDER BY n DESC, upper(type)) AS types, sum(n) AS n FROM (SELECT req, type, count(*) AS n FROM fnd GROUP BY 1, 2) y GROUP BY req)
+SELECT r.req, CASE WHEN k5.n IS NULL THEN concat('No matches found for identifier ''', query, ''' — the identifier has no matches even without the applied filters.')
+  ELSE concat('No matches for ''', query, ''' with the applied filters (type=Interface). ', k5.n, ' match(es) exist without filters — types: ', types, '. Adjust or drop the filters.') END AS hint FROM requests r LEFT JOIN k5 ON r.req = k5.req WHERE r.req NOT IN (SELECT req FROM fc)""", keep=True)
+def no_match_hint(g: Graph) -> DataFrame:
+    found = _candidates(g, kind="Interface")
+    return context.no_match_hint(_asked(g), found, g.nodes, context.Options(kind="Interface"))
+
+
+@query(_FOUND + """ SELECT a.req, concat('{"match_mode":"', match_mode, '"', CASE WHEN substring_skipped THEN ',"substring_skipped":true' ELSE '' END, ',"total":', total, CASE WHEN ambiguous THEN ',"ambiguous":true' ELSE '' END, ',"returned":', returned, CASE WHEN truncated THEN ',"truncated":true' ELSE '' END,
+  coalesce(',"hint":"' || hint || '"', ''), coalesce(',"targets":[' || t.j || ']', ''), '}') AS json FROM ans a LEFT JOIN (SELECT req, string_agg(concat('{"name":"', name, '","type":"', type, '","file":"', file, '","line":', line, ',"signature":"', signature, '","identifier":"', identifier, '"}'), ',' ORDER BY place) AS j FROM tgt GROUP BY req) t ON a.req = t.req""", keep=True)
+def response_json(g: Graph) -> DataFrame:
+    return context.as_json(context.compact_context(g, _asked(g), context.Options(root_path="/wh")))
+
+
+_NEAR = f"""u AS (SELECT DISTINCT source_id AS s, target_id AS t FROM edges WHERE {USAGE} AND {RESOLVED}), fam AS (SELECT root, node FROM m UNION SELECT id, id FROM nodes WHERE type <> 'Method'),
+wo AS (SELECT id AS root, id AS node, 0 AS d FROM nodes UNION SELECT root, t, d + 1 FROM wo JOIN u ON s = node WHERE d < 2), fo AS (SELECT root, node, min(d) AS d FROM wo GROUP BY 1, 2),
+wi AS (SELECT root, node, 0 AS d FROM fam UNION SELECT root, s, d + 1 FROM wi JOIN u ON t = node WHERE d < 2), fi AS (SELECT root, node, min(d) AS d FROM wi GROUP BY 1, 2),
+dep AS ({_links(False)}), dnt AS ({_links(True)})"""
+
+
+@query(_FAMILY + f""", {_NEAR} SELECT root, CASE d WHEN 1 THEN 'uses' ELSE 'transitiveUses' END AS section, node, CAST(d AS INTEGER) AS distance FROM fo WHERE d > 0
+UNION ALL SELECT root, CASE d WHEN 1 THEN 'usedBy' ELSE 'transitiveUsedBy' END, node, CAST(d AS INTEGER) FROM fi WHERE d > 0
+UNION ALL SELECT id, 'fileDependencies', other, 1 FROM nodes JOIN dep ON file_path = file UNION ALL SELECT id, 'fileDependents', other, 1 FROM nodes JOIN dnt ON file_path = file""", keep=True)
+def build_relationships(g: Graph) -> DataFrame:
+    return context.build_relationships(g, g.nodes, 2)
+
+
+_SECTIONS = f""", dep AS ({_links(False)}), dnt AS ({_links(True)}), rt AS (SELECT req, id AS root, place AS target, file_path FROM fnd WHERE total = 1),
+en AS (SELECT root, 'uses' AS section, target_id AS node, type, line FROM rt JOIN edges ON source_id = root WHERE {USAGE} AND {RESOLVED} AND source_id <> target_id UNION ALL SELECT root, 'usedBy', source_id, type, line FROM rt JOIN edges ON target_id = root WHERE {USAGE} AND {RESOLVED} AND source_id <> target_id),
+oc AS (SELECT root, section, node, count(*) AS occurrences, min({REL_RANK}) AS r FROM en GROUP BY 1, 2, 3),
+sec AS (SELECT root, section, node, occurrences, r FROM oc UNION ALL SELECT root, 'fileDependencies', other, NULL, NULL FROM rt JOIN dep ON file_path = file UNION ALL SELECT root, 'fileDependents', other, NULL, NULL FROM rt JOIN dnt ON file_path = file),
+sp AS (SELECT sec.*, row_number() OVER (PARTITION BY root, section ORDER BY coalesce(r, 0), coalesce({TEST_PATH}, false), {TYPE_RANK}, upper(file_path), start_line, upper(coalesce(identifier, node)), node) AS place, count(*) OVER (PARTITION BY root, section) AS total FROM sec LEFT JOIN nodes ON nodes.id = node)"""
+
+
+@query(_FOUND + _SECTIONS.replace("upper(type) WHEN 'CLASS'", "upper(nodes.type) WHEN 'CLASS'") + " SELECT rt.req, rt.root, section, CAST(sp.place AS INTEGER) AS place, CAST(sp.total AS BIGINT) AS total, sp.total > 10 AS truncated, node, CAST(occurrences AS BIGINT) AS occurrences FROM sp JOIN rt ON sp.root = rt.root WHERE sp.place <= 10", keep=True)
+def compact_relationships(g: Graph) -> DataFrame:
+    out = context.compact_context(g, _asked(g), context.Options(root_path="/wh")).relationships
+    return out.select("req", "root", "section", "place", "total", "truncated", "node", "occurrences")
+
+
+@query(keep=True)
+def full_context(g: Graph) -> DataFrame:
+    out = context.full_context(g, _asked(g), context.Options(depth=2, full=True))
+    return out.relationships.select("req", "root", "section", "node", "distance")
+
+
+@query(keep=True)
+def agent_lines(g: Graph) -> DataFrame:
+    found = context.compact_context(g, _asked(g), context.Options(root_path="/wh"))
+    return context.agent_lines(found, _asked(g)).withColumn("ord", F.array_join(F.col("ord").cast("array<string>"), "."))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
