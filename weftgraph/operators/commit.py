@@ -26,6 +26,41 @@ def check_identifiers(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("identifier").agg(F.count_distinct("id").alias("ids")).where("ids > 1")
 
 
+def last_of_each(df: DataFrame) -> DataFrame:
+    """One row an id: the last by ``ord`` where the delta has that column, else the greatest row."""
+    if "ord" in df.columns:
+        return dedup_last_wins(df, "ord").drop("ord")
+    return df.groupBy("id").agg(F.max(F.struct(*df.columns)).alias("row")).select("row.*")
+
+
+def checked(graph: Graph) -> Graph:
+    """The graph, once no identifier in it stands for several ids."""
+    bad = check_identifiers(graph.nodes.where("identifier <> ''")).limit(3).collect()
+    if bad:
+        raise ValueError(f"identifiers of several nodes: {', '.join(r['identifier'] for r in bad)}")
+    return graph
+
+
+def upsert(graph: Graph, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> Graph:
+    """Facts in place of those with their ids, in whatever shard these are."""
+    new_nodes = graph.nodes if nodes is None else over(graph.nodes, last_of_each(nodes).select(graph.nodes.columns))
+    new_edges = graph.edges if edges is None else over(graph.edges, last_of_each(edges).select(graph.edges.columns))
+    return Graph(new_nodes, new_edges, graph.version + 1)
+
+
+def delete_nodes(graph: Graph, ids: DataFrame) -> Graph:
+    """Without the nodes (id); their edges stay, and dangle."""
+    return Graph(graph.nodes.join(ids.select("id"), "id", "left_anti"), graph.edges, graph.version + 1)
+
+
+def delete_edges_of(graph: Graph, ids: DataFrame) -> Graph:
+    """Without the edges that touch the nodes (id)."""
+    edges = graph.edges
+    for end in ("source_id", "target_id"):
+        edges = edges.join(ids.select(F.col("id").alias(end)), end, "left_anti")
+    return Graph(graph.nodes, edges.select(graph.edges.columns), graph.version + 1)
+
+
 def over(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Old rows overwritten by new ones."""
     return old.join(new.select(key), key, "left_anti").select(new.columns).unionByName(new)
@@ -34,6 +69,7 @@ def over(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 def commit_scoped(graph: Graph, delta: Graph, parser: str, workspace: str, files: Sequence[str] | None = None) -> Graph:
     """Replace one shard, or its listed files only, by a delta, and sweep the other shards of what that leaves dangling.
     Anti-joins only; the delta and the removed ids are the small sides, and Spark broadcasts them by their size."""
+    delta = Graph(last_of_each(delta.nodes).select(graph.nodes.columns), last_of_each(delta.edges).select(graph.edges.columns))
     own = (F.col("parser_id") == parser) & (F.col("workspace_id") == workspace)
     nodes, edges = graph.nodes.where(own), graph.edges.where(own)
     others, foreign = graph.nodes.where(~own), graph.edges.where(~own)
@@ -49,11 +85,25 @@ def commit_scoped(graph: Graph, delta: Graph, parser: str, workspace: str, files
     foreign = foreign.join(delta.edges.select("id"), "id", "left_anti")
     swept = foreign.join(by(removed, "source_id"), "source_id", "left_anti").join(by(lost, "target_id"), "target_id", "left_anti")
     swept = swept.join(by(evicted, "source_id"), "source_id", "left_anti").join(by(evicted, "target_id"), "target_id", "left_anti")
-    return Graph(now.unionByName(others.select(now.columns)), now_edges.unionByName(swept.select(now_edges.columns)), graph.version + 1)
+    return checked(Graph(now.unionByName(others.select(now.columns)), now_edges.unionByName(swept.select(now_edges.columns)), graph.version + 1))
 
 
 def commit_full(delta: Graph, version: int = 0) -> Graph:
-    return Graph(delta.nodes, delta.edges, version + 1)
+    """A delta in place of everything: one fact an id, no identifier of two nodes."""
+    return checked(Graph(last_of_each(delta.nodes), last_of_each(delta.edges), version + 1))
+
+
+def commit_newer(graph: Graph, delta: Graph, parser: str, workspace: str, generation: int, committed: int, files: Sequence[str] | None = None) -> Graph:
+    """commit_scoped, but the graph as it is where the delta's generation isn't beyond the committed one."""
+    return commit_scoped(graph, delta, parser, workspace, files) if generation > committed else graph
+
+
+def incremental_emission(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts of changed files, (file_path) that the delta replaces): the changed ones and those that are gone. Keep what
+    was ``after`` as the next ``before`` once the delta is out, not earlier."""
+    changes = fact_hash_diff(before, after)
+    dirty = changes.where("change <> 'removed'").select("file_path")
+    return after.join(dirty, "file_path", "left_semi"), changes.select("file_path")
 
 
 def prune_files(graph: Graph, keep: DataFrame) -> Graph:
@@ -72,6 +122,7 @@ def delta_assemble(chunks: DataFrame, committed: DataFrame | None = None) -> Dat
         chunks = chunks.join(committed.select("parser_id", "workspace_id", F.col("generation").alias("done")), ["parser_id", "workspace_id"], "left").where("done is null or generation > done").drop("done")
     newest = chunks.groupBy("parser_id", "workspace_id").agg(F.max("generation").alias("generation"))
     live = chunks.join(newest, ["parser_id", "workspace_id", "generation"])
+    # A shard's delta is one row here; assemble_rows gives it as rows, whatever its size.
     flat = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ord", F.col(c)))), lambda x: x[c]))
     whole = live.groupBy("parser_id", "workspace_id", "generation", "request_id").agg(
         F.bool_or("replaces_workspace").alias("replaces_workspace"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("replaces_files")))).alias("replaces_files"), flat("nodes").alias("nodes"), flat("edges").alias("edges"), F.bool_or("is_last_for_request").alias("done")
@@ -79,6 +130,17 @@ def delta_assemble(chunks: DataFrame, committed: DataFrame | None = None) -> Dat
     return whole.where("done").drop("done")
 
 
+def assemble_rows(chunks: DataFrame, committed: DataFrame | None = None) -> DataFrame:
+    """The chunks that belong to whole newest deltas, as rows: same rule as delta_assemble, nothing gathered."""
+    shard = ["parser_id", "workspace_id"]
+    if committed is not None:
+        chunks = chunks.join(committed.select(*shard, F.col("generation").alias("done")), shard, "left").where("done is null or generation > done").drop("done")
+    newest = chunks.groupBy(*shard).agg(F.max("generation").alias("generation"))
+    live = chunks.join(newest, [*shard, "generation"])
+    whole = live.groupBy(*shard, "generation", "request_id").agg(F.bool_or("is_last_for_request").alias("whole")).where("whole").drop("whole")
+    return live.join(whole, [*shard, "generation", "request_id"], "left_semi")
+
+
 def delta_validate(nodes: DataFrame, edges: DataFrame, prefix: str) -> DataFrame:
     """(kind, id) of facts that don't belong to the shard that sends them; a commit with any fails."""
     bad = lambda df, c, kind: df.where(~F.coalesce(F.col(c).startswith(prefix), F.lit(False))).select(F.lit(kind).alias("kind"), F.col(c).alias("id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.expr import fold, is_semantic, path_key
@@ -42,6 +42,14 @@ def related_groups(nodes: DataFrame) -> DataFrame:
     return files.union(spaces).where("group <> ''")
 
 
+def related_order(nodes: DataFrame) -> DataFrame:
+    """(proximity, group, node, place): the groups of related_groups with each node's place in the order in which related
+    items are told; a root's own list is its groups' without itself, nearer groups first."""
+    own = nodes.select(F.col("id").alias("node"), fold("type").alias("k"), fold("file_path").alias("p"), "start_line", "start_col", fold("name").alias("n"))
+    order = Window.partitionBy("proximity", "group").orderBy("k", "p", "start_line", "start_col", "n", "node")
+    return related_groups(nodes).join(own, "node").withColumn("place", F.row_number().over(order)).select("proximity", "group", "node", "place")
+
+
 def content_snippet(nodes: DataFrame, files: DataFrame, fix_offset: bool = False) -> DataFrame:
     """(id, content): the lines of a span out of files (file_path, text). Stored spans count from 0 but are cut as if
     from 1, which shifts the text up by a line; fix_offset cuts them as stored."""

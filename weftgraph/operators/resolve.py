@@ -17,6 +17,18 @@ def match_substring(nodes: DataFrame, text: str) -> DataFrame:
     return nodes.where(fold("name").contains(F.upper(F.lit(text))))
 
 
+def lookup(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """Nodes of keys (key), by id or by identifier."""
+    by = lambda c: keys.select("key").join(nodes, F.col("key") == F.col(c)).select("key", *nodes.columns)
+    return by("id").union(by("identifier")).dropDuplicates(["key", "id"])
+
+
+def edges_of(edges: DataFrame, keys: DataFrame, end: str, kind: str | None = None) -> DataFrame:
+    """Edges that leave (end source_id) or reach (target_id) the nodes of keys (key), of one type if asked, its case as given."""
+    own = edges if kind is None else edges.where(F.col("type") == kind)
+    return keys.select("key").join(own, F.col("key") == F.col(end))
+
+
 def parts_found(texts: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct (text, name) of which the text holds the name. Every part of a text that is as long as some name is looked
     up by an equi-join, so no name meets a text that it isn't in; a row per distinct length of a name goes through the driver."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.expr import complexity, is_usage, language_of
+from weftgraph.operators.lifecycle import ScanState
 from weftgraph.operators.traverse import resolved
 from weftgraph.plans.adapter import Graph
 
@@ -24,6 +25,15 @@ def graph_stats(graph: Graph) -> DataFrame:
     return out
 
 
+def status(graph: Graph, state: ScanState) -> DataFrame:
+    """One row: totals, counts by kind as maps, and the scan's state."""
+    rows = graph_stats(graph)
+    kinds = lambda what: F.map_from_entries(F.collect_list(F.when((F.col("what") == what) & (F.col("kind") != "*"), F.struct("kind", "n"))))
+    total = lambda what: F.max(F.when((F.col("what") == what) & (F.col("kind") == "*"), F.col("n")))
+    out = rows.agg(total("node").alias("nodes"), total("edge").alias("edges"), kinds("node").alias("node_kinds"), kinds("edge").alias("edge_kinds"))
+    return out.select("*", F.lit(graph.version).alias("version"), F.lit(state.state).alias("state"), F.lit(state.operation).cast("bigint").alias("operation"), F.lit(state.error).cast("string").alias("error"))
+
+
 def file_stats(metadata: DataFrame) -> DataFrame:
     """(what, value, n): files by status, all statuses present, and by language."""
     spark = metadata.sparkSession

@@ -126,6 +126,12 @@ def family_reach(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: in
     return heads.join(found.where("distance > 0").withColumnRenamed("root", "head"), "head").select("root", "node", "distance")
 
 
+def in_order(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same with each row's place for its root: by distance, then identifier."""
+    told = found.join(nodes.select(F.col("id").alias("node"), "identifier"), "node")
+    return told.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("distance", "identifier", "node")))
+
+
 def statically_bound_targets(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node) of family members with a caller."""
     called = resolved(edges.where(is_usage()), nodes).select(F.col("target_id").alias("node"))

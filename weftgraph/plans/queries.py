@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import expr as X
-from weftgraph.operators import commit, context, evidence, files, resolve, stats, traverse
+from weftgraph.operators import commit, context, evidence, files, lifecycle, resolve, stats, traverse
 from weftgraph.plans.adapter import EDGES_SQL, NODES_SQL, Graph, star_graph
 from weftgraph.plans.staging import checkpointed
-from weftgraph.sources import ignore
+from weftgraph.sources import facts, ignore
 from weftgraph.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,10 +118,10 @@ def edges_by_target(g: Graph) -> DataFrame:
     return g.edges.where("target_id = 'ship:default:supplier/7' and type = 'IMPORTS'").select("id", "source_id")
 
 
-@query("SELECT e.type, n.type AS far_type, CAST(count(*) AS BIGINT) AS n FROM edges e JOIN nodes n ON e.target_id = n.id GROUP BY ALL")
+@query("SELECT e.id, e.type, n.id AS far, n.type AS far_type FROM edges e JOIN nodes n ON e.target_id = n.id")
 def edge_node_join(g: Graph) -> DataFrame:
-    far = g.nodes.select(F.col("id").alias("target_id"), F.col("type").alias("far_type"))
-    return g.edges.join(far, "target_id").groupBy("type", "far_type").agg(F.count("*").alias("n"))
+    far = g.nodes.select(F.col("id").alias("far"), F.col("type").alias("far_type"))
+    return g.edges.join(far, F.col("target_id") == F.col("far")).select("id", "type", "far", "far_type")
 
 
 @query(f"SELECT id, {TEST_PATH} AS is_test_path FROM nodes")
@@ -138,9 +139,9 @@ def edge_classes(g: Graph) -> DataFrame:
     return g.edges.groupBy(X.is_usage().alias("is_usage"), X.is_semantic().alias("is_semantic"), "type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT coalesce(type, 'USES') AS type, CAST(count(*) AS BIGINT) AS n FROM edges WHERE upper(coalesce(type, 'USES')) IN ('CALLS', 'USES') GROUP BY 1")
+@query("SELECT id, coalesce(type, 'USES') AS type FROM edges WHERE upper(coalesce(type, 'USES')) IN ('CALLS', 'USES')")
 def relation_filter(g: Graph) -> DataFrame:
-    return resolve.relation_filter(g.edges, "calls, USES,").groupBy(X.shown().alias("type")).agg(F.count("*").alias("n"))
+    return resolve.relation_filter(g.edges, "calls, USES,").select("id", X.shown().alias("type"))
 
 
 def _direct(incoming: bool) -> str:
@@ -287,12 +288,11 @@ def _delta(g: Graph) -> Graph:
     return Graph(n, g.edges.where("parser_id = 'ship'").join(n.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(g.edges.columns))
 
 
-_SHARDS = "SELECT 'node' AS what, parser_id, CAST(count(*) AS BIGINT) AS n FROM {nodes} GROUP BY parser_id UNION ALL SELECT 'edge', parser_id, count(*) FROM {edges} GROUP BY parser_id"
+_SHARDS = "SELECT 'node' AS what, parser_id, id FROM {nodes} UNION ALL SELECT 'edge', parser_id, id FROM {edges}"
 
 
 def _shards(g: Graph) -> DataFrame:
-    n = g.nodes.groupBy("parser_id").agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "parser_id", "n")
-    return n.union(g.edges.groupBy("parser_id").agg(F.count("*").alias("n")).select(F.lit("edge"), "parser_id", "n"))
+    return g.nodes.select(F.lit("node").alias("what"), "parser_id", "id").union(g.edges.select(F.lit("edge"), "parser_id", "id"))
 
 
 @query(f""", dn AS {_DELTA_NODES}, lost AS (SELECT id FROM nodes WHERE parser_id = 'ship' AND id NOT IN (SELECT id FROM dn)),
@@ -329,9 +329,9 @@ def prune_files(g: Graph) -> DataFrame:
     return _shards(commit.prune_files(g, keep))
 
 
-@query("SELECT 'node' AS kind, CAST(count(*) AS BIGINT) AS n FROM nodes WHERE id NOT LIKE 'ship:default:%' UNION ALL SELECT 'edge', count(*) FROM edges WHERE id NOT LIKE 'ship:default:%' UNION ALL SELECT 'source', count(*) FROM edges WHERE source_id NOT LIKE 'ship:default:%'")
+@query("SELECT 'node' AS kind, id FROM nodes WHERE id NOT LIKE 'ship:default:%' UNION ALL SELECT 'edge', id FROM edges WHERE id NOT LIKE 'ship:default:%' UNION ALL SELECT 'source', source_id FROM edges WHERE source_id NOT LIKE 'ship:default:%'")
 def delta_validate(g: Graph) -> DataFrame:
-    return commit.delta_validate(g.nodes, g.edges, "ship:default:").groupBy("kind").agg(F.count("*").alias("n"))
+    return commit.delta_validate(g.nodes, g.edges, "ship:default:")
 
 
 _CHUNKS = "SELECT concat('p', user_id % 5) AS parser_id, 'default' AS workspace_id, CAST(event_id % 4 AS BIGINT) AS generation, CAST(event_id % 4 AS BIGINT) AS request_id, CAST(event_id AS INT) AS chunk_ord, concat('n', event_id) AS node, event_type = 'error' AS is_last_for_request FROM {e}"
@@ -345,11 +345,17 @@ def delta_assemble(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("parser_id", "generation", F.size("nodes").cast("long").alias("n_nodes"), F.array_join("nodes", ",").alias("nodes"))
 
 
-@query(f"SELECT count(*) AS n FROM (SELECT file_path, status FROM {_FILES} f WHERE status <> 'Completed') x", graph=False)
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {_FILES.replace('FROM events', 'FROM {events}')}", events=spark.read.parquet(f"{sf}/events.parquet"))
+
+
+@query(f"SELECT file_path FROM {_FILES} f WHERE status <> 'Completed' OR file_path LIKE '%3.%' UNION ALL SELECT '/wh/new.cs'", graph=False)
 def needs_processing(spark: SparkSession, sf: str) -> DataFrame:
-    meta = spark.sql(f"SELECT *, timestamp'2024-01-01' AS last_modified FROM {_FILES.replace('FROM events', 'FROM {events}')}", events=spark.read.parquet(f"{sf}/events.parquet"))
-    now = meta.select("file_path", F.lit("2024-01-01").cast("timestamp").alias("modified"))
-    return commit.needs_processing(now, meta).agg(F.count("*").alias("n"))
+    meta = _files(spark, sf).withColumn("last_modified", F.lit("2024-01-01").cast("timestamp"))
+    later = F.when(F.col("file_path").like("%3.%"), F.lit("2024-01-02")).otherwise(F.lit("2024-01-01")).cast("timestamp")
+    now = meta.select("file_path", later.alias("modified"))
+    now = now.union(now.limit(1).select(F.lit("/wh/new.cs"), "modified"))
+    return commit.needs_processing(now, meta).select("file_path")
 
 
 _CHANGES = "SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS ts, concat('/wh/users/u', user_id, '.cs') AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'changed' END AS change_type FROM {e}"
@@ -625,6 +631,210 @@ def agent_lines(g: Graph) -> DataFrame:
     return context.agent_lines(found, _asked(g)).withColumn("ord", F.array_join(F.col("ord").cast("array<string>"), "."))
 
 
+@query("SELECT id, identifier, name, parser_id FROM nodes")
+def all_nodes(g: Graph) -> DataFrame:
+    return g.nodes.select("id", "identifier", "name", "parser_id")
+
+
+@query("SELECT id, source_id, target_id, type, parser_id FROM edges")
+def all_edges(g: Graph) -> DataFrame:
+    return g.edges.select("id", "source_id", "target_id", "type", "parser_id")
+
+
+def _keys(g: Graph) -> DataFrame:
+    """Identifiers of parts, and ids of methods, that edges or lines name: a request table of any size."""
+    parts = g.edges.where("target_id like 'ship:default:part/%'").select(F.replace("target_id", F.lit("ship:default:"), F.lit("ship:")).alias("key"))
+    return parts.union(g.edges.where("target_id like 'tpch:default:orders/%'").select("target_id")).distinct()
+
+
+_KEYED = "keys AS (SELECT DISTINCT replace(target_id, 'ship:default:', 'ship:') AS key FROM edges WHERE target_id LIKE 'ship:default:part/%' UNION SELECT DISTINCT target_id FROM edges WHERE target_id LIKE 'tpch:default:orders/%')"
+
+
+@query(f", {_KEYED} SELECT key, id FROM keys JOIN nodes ON key = id UNION SELECT key, id FROM keys JOIN nodes ON key = identifier")
+def lookup_nodes(g: Graph) -> DataFrame:
+    return resolve.lookup(g.nodes, _keys(g)).select("key", "id")
+
+
+@query(f", {_KEYED} SELECT key, id, target_id, type FROM keys JOIN edges ON key = source_id")
+def edges_of_sources(g: Graph) -> DataFrame:
+    return resolve.edges_of(g.edges, _keys(g), "source_id").select("key", "id", "target_id", "type")
+
+
+@query(f", {_KEYED} SELECT key, id, source_id FROM keys JOIN edges ON key = target_id WHERE type = 'CALLS'")
+def edges_of_targets(g: Graph) -> DataFrame:
+    return resolve.edges_of(g.edges, _keys(g), "target_id", "CALLS").select("key", "id", "source_id")
+
+
+@query("SELECT DISTINCT regexp_extract(a.file_path, '([^/]*/[^/]*)$', 1) AS query, n.id FROM nodes a JOIN nodes n ON upper(n.file_path) LIKE concat('%/', upper(regexp_extract(a.file_path, '([^/]*/[^/]*)$', 1)))")
+def nodes_by_paths(g: Graph) -> DataFrame:
+    asked = g.nodes.select(F.regexp_extract("file_path", "([^/]*/[^/]*)$", 1).alias("query")).distinct().withColumn("req", F.col("query"))
+    return resolve.match_paths(g.nodes, asked).select("query", "id")
+
+
+@query("SELECT DISTINCT a.file_path AS a, b.file_path AS b FROM nodes a JOIN nodes b ON a.file_path = b.file_path")
+def same_file(g: Graph) -> DataFrame:
+    paths = g.nodes.select(F.col("file_path").alias("a")).distinct()
+    met = resolve.match_paths(g.nodes, paths.select(F.col("a").alias("query"), F.col("a").alias("req"))).select(F.col("query").alias("a"), F.col("file_path").alias("b")).distinct()
+    return met.where(facts.same_file("a", "b"))
+
+
+_CLAIMS = "(VALUES ('cs', 'csharp', 0), ('ts', 'typescript', 1), ('cs', 'other', 2), ('md', 'notes', 3)) v(extension, parser_id, claim)"
+
+
+def _claims(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("cs", "csharp", 0), ("ts", "typescript", 1), ("cs", "other", 2), ("md", "notes", 3)], "extension string, parser_id string, claim int")
+
+
+@query(f"SELECT file_path, CASE WHEN file_path LIKE '%.cs' THEN 'csharp' WHEN file_path LIKE '%.ts' THEN 'typescript' WHEN file_path LIKE '%.md' THEN 'notes' END AS parser_id FROM {_FILES} f", graph=False)
+def extension_owner(spark: SparkSession, sf: str) -> DataFrame:
+    return facts.owner_of(_files(spark, sf).select("file_path"), _claims(spark), "file_path")
+
+
+@query("SELECT DISTINCT file_path AS path, CASE WHEN file_path LIKE '/wh/src/%' THEN '/wh/src' WHEN file_path LIKE '/wh/part/%' THEN '/wh/part/' ELSE '/wh' END AS root FROM nodes")
+def nearest_ancestor(g: Graph) -> DataFrame:
+    roots = g.nodes.sparkSession.createDataFrame([("/wh",), ("/wh/src",), ("/wh/part/",), ("/other",)], "root string")
+    return facts.nearest_ancestor(g.nodes.select(F.col("file_path").alias("path")).distinct(), roots)
+
+
+@query("SELECT id, name, type, CASE WHEN starts_with(file_path, '/wh/') THEN substr(file_path, 5) ELSE file_path END AS file, start_line + 1 AS line, regexp_replace(trim(signature), '\\s+', ' ', 'g') AS signature, identifier FROM nodes")
+def compact_nodes(g: Graph) -> DataFrame:
+    return g.nodes.select("id", *context.compact_node("/wh"))
+
+
+@query("SELECT id, contains(name, '/') OR contains(name, '\\') OR regexp_matches(name, '[.](cs|ts|tsx|js|jsx|mts|cts|mjs|cjs|vue|py|pyw)$') AS is_name, true AS is_path FROM nodes")
+def is_file_path(g: Graph) -> DataFrame:
+    return g.nodes.select("id", resolve.is_file_path(F.col("name")).alias("is_name"), resolve.is_file_path(F.col("file_path")).alias("is_path"))
+
+
+@query("SELECT id, greatest(0, start_line - 1) AS start_line, greatest(0, start_col - 1) AS start_col FROM nodes WHERE type = 'Method' UNION ALL SELECT id, CAST(greatest(0, line - 1) AS INTEGER), CAST(greatest(0, col - 1) AS INTEGER) FROM edges WHERE line IS NOT NULL")
+def span_columns(g: Graph) -> DataFrame:
+    nodes = g.nodes.where("type = 'Method'").select("id", X.normal_span("start_line", 1).alias("start_line"), X.normal_span("start_col", 1).alias("start_col"))
+    return nodes.union(g.edges.where("line is not null").select("id", X.normal_span("line", 1).cast("int"), X.normal_span("col", 1).cast("int")))
+
+
+@query("SELECT id, concat('isTest=', is_test, ',line=', start_line, ',parser_id=', parser_id, ',workspace_id=', workspace_id) AS metadata FROM nodes")
+def stamp_ownership(g: Graph) -> DataFrame:
+    own = F.create_map(F.lit("isTest"), "is_test", F.lit("parser_id"), F.lit("forged"), F.lit("line"), F.col("start_line").cast("string"))
+    entries = F.transform(F.array_sort(F.map_entries(facts.stamp_ownership(own, "parser_id", "workspace_id"))), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return g.nodes.select("id", F.array_join(entries, ",").alias("metadata"))
+
+
+@query("SELECT id, url_encode(concat(name, ' /', namespace)) AS uri FROM nodes")
+def workspace_uri(g: Graph) -> DataFrame:
+    return g.nodes.select("id", facts.workspace_uri(F.concat("name", F.lit(" /"), "namespace")).alias("uri"))
+
+
+@query(""", x AS (SELECT 0 AS proximity, upper(file_path) AS "group", * FROM nodes UNION ALL SELECT 1, upper(namespace), * FROM nodes WHERE namespace <> '')
+SELECT proximity, "group", id AS node, CAST(row_number() OVER (PARTITION BY proximity, "group" ORDER BY upper(type), upper(file_path), start_line, start_col, upper(name), id) AS INTEGER) AS place FROM x""")
+def related_order(g: Graph) -> DataFrame:
+    return files.related_order(g.nodes)
+
+
+@query(_FAMILY + f""", {_NEAR.split(', dep AS')[0]} SELECT root, node, CAST(d AS INTEGER) AS distance, CAST(row_number() OVER (PARTITION BY root ORDER BY d, identifier, node) AS INTEGER) AS place FROM fi JOIN nodes ON nodes.id = node WHERE d > 0 AND root IN (SELECT id FROM nodes WHERE type = 'Method')""", keep=True)
+def inbound_order(g: Graph) -> DataFrame:
+    return traverse.in_order(traverse.family_reach(g.nodes, g.edges, _heads(g), 2), g.nodes).select("root", "node", "distance", "place")
+
+
+@query(_FOUND + _SECTIONS + " SELECT req, x.section, CAST(count(CASE WHEN upper(coalesce(type, 'USES')) = 'INHERITS' THEN 1 END) AS BIGINT) AS edges FROM rt JOIN en x ON rt.root = x.root GROUP BY 1, 2", keep=True)
+def section_presence(g: Graph) -> DataFrame:
+    """A filter that leaves nothing of a section keeps the section, with a total of 0."""
+    out = context.compact_context(g, _asked(g), context.Options(root_path="/wh", relation="INHERITS")).relationships
+    out = out.where("section in ('uses', 'usedBy')")
+    return out.groupBy("req", "section").agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("edges"))
+
+
+@query("SELECT event_type AS endpoint, CAST(count(*) AS BIGINT) AS calls, CAST(sum(CAST(value * 100 AS BIGINT)) AS BIGINT) AS total, floor(avg(CAST(value * 100 AS BIGINT))) AS mean FROM events GROUP BY 1", graph=False)
+def api_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    calls = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("endpoint"), F.round(F.col("value") * 100).cast("bigint").alias("latency"))
+    return lifecycle.api_metrics(calls).withColumn("mean", F.floor("mean").cast("double"))
+
+
+@query(f"SELECT (SELECT CAST(count(*) AS BIGINT) FROM nodes) AS nodes, (SELECT CAST(count(*) AS BIGINT) FROM edges) AS edges, (SELECT CAST(count(*) AS BIGINT) FROM nodes WHERE type = 'Method') AS methods, 'Ready' AS state, CAST(1 AS BIGINT) AS operation")
+def status(g: Graph) -> DataFrame:
+    state = lifecycle.ScanState()
+    state.begin()
+    state.complete()
+    return stats.status(g, state).select("nodes", "edges", F.coalesce(F.col("node_kinds")["Method"], F.lit(0)).alias("methods"), "state", "operation")
+
+
+@query("SELECT (SELECT CAST(count(*) AS BIGINT) FROM nation) + (SELECT count(*) FROM region) AS nodes_merged, (SELECT CAST(count(*) AS BIGINT) FROM nation) AS edges_merged, (SELECT CAST(count(*) AS BIGINT) FROM nodes) AS nodes_deleted, 'reconcile' AS operation")
+def json_reconcile(g: Graph) -> DataFrame:
+    fact = lambda df, shape: df.select(F.struct(*[F.col(x.split(":")[0]) for x in shape[7:-1].split(",")]).alias("x")).agg(F.collect_list("x").alias("x")).select(F.to_json("x").alias("j"))
+    small = g.nodes.where("type in ('Namespace', 'Interface')")
+    n = fact(small, facts.NODE).select(F.lit(1).alias("k"), "j").join(fact(g.edges.where("type = 'INHERITS'"), facts.EDGE).select(F.lit(1).alias("k"), F.col("j").alias("e")), "k")
+    return facts.json_reconcile(n.select(F.concat(F.lit('{"nodes":'), "j", F.lit(',"edges":'), "e", F.lit("}")).alias("json")), g)[2]
+
+
+@query(""", x AS (SELECT 0 AS k, parser_id, id FROM nodes UNION ALL SELECT 1, parser_id, id FROM edges), y AS (SELECT k, parser_id, id, (row_number() OVER (PARTITION BY k, parser_id ORDER BY id) - 1) // 2000 AS c FROM x), z AS (SELECT parser_id, max(c) + 1 AS nc FROM y WHERE k = 0 GROUP BY 1)
+SELECT y.parser_id, CAST(CASE k WHEN 0 THEN c ELSE c + nc END AS INTEGER) AS chunk_ord, CAST(count(*) AS BIGINT) AS n, min(id) AS first_id FROM y JOIN z ON y.parser_id = z.parser_id GROUP BY 1, 2""", keep=True)
+def delta_source(g: Graph) -> DataFrame:
+    """A shard's facts as chunks in JSON lines, and read again."""
+    from weftgraph.plans.staging import shared_dir
+
+    path = f"{shared_dir(g.nodes)}/deltas-{uuid.uuid4().hex}"
+    facts.delta_chunks(g, 1, 1).write.json(path)
+    read = facts.read_deltas(g.nodes.sparkSession, path)
+    ids = F.concat(F.transform("nodes", lambda x: x["id"]), F.transform("edges", lambda x: x["id"]))
+    return read.select("parser_id", "chunk_ord", F.size(ids).cast("long").alias("n"), F.array_min(ids).alias("first_id"))
+
+
+_SCAN = f"""f AS (SELECT file_path, status, CASE WHEN file_path LIKE '%.cs' THEN 'csharp' WHEN file_path LIKE '%.ts' THEN 'typescript' ELSE 'notes' END AS parser_id FROM {_FILES} x)"""
+
+
+@query(f"WITH {_SCAN} SELECT file_path, parser_id FROM f WHERE file_path NOT LIKE '%7.%' AND parser_id IN (SELECT parser_id FROM f WHERE status <> 'Completed' AND file_path NOT LIKE '%7.%') UNION ALL SELECT file_path, 'pruned' FROM f WHERE file_path LIKE '%7.%'", graph=False)
+def resumable_scan(spark: SparkSession, sf: str) -> DataFrame:
+    meta = _files(spark, sf).withColumn("last_modified", F.lit("2024-01-01").cast("timestamp"))
+    here = meta.where("file_path not like '%7.%'").select("file_path", F.lit("2024-01-01").cast("timestamp").alias("modified"))
+    scan, gone = facts.files_to_scan(here, meta, _claims(spark))
+    return scan.union(gone.select("file_path", F.lit("pruned")))
+
+
+@query(f"SELECT file_path, CASE status WHEN 'Failed' THEN 'Failed' ELSE 'Pending' END AS status FROM {_FILES} f", graph=False)
+def scan_rollback(spark: SparkSession, sf: str) -> DataFrame:
+    return facts.rolled_back(_files(spark, sf)).select("file_path", "status")
+
+
+@query("SELECT CAST(event_id AS BIGINT) AS seq, path, change_type FROM (SELECT event_id, concat('/wh/users/u', user_id, CASE WHEN event_id % 3 = 0 THEN '.cs' ELSE '.bin' END) AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'changed' WHEN 'error' THEN 'deleted' ELSE 'changed' END AS change_type FROM events UNION ALL SELECT event_id, concat('/wh/old/u', user_id, '.cs'), 'deleted' FROM events WHERE event_type = 'purchase') x WHERE path LIKE '%.cs' AND path NOT LIKE '%/u1%'", graph=False)
+def change_source(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "purchase", "renamed").when(F.col("event_type") == "error", "deleted").otherwise("changed")
+    name = F.col("user_id").cast("string")
+    raw = e.select(F.col("event_id").alias("seq"), "ts", F.concat(F.lit("/wh/users/u"), name, F.when(F.col("event_id") % 3 == 0, ".cs").otherwise(".bin")).alias("path"), F.concat(F.lit("/wh/old/u"), name, F.lit(".cs")).alias("old_path"), kind.alias("change_type"))
+    rules = ignore.compile_rules(spark, [("", "u1*\n")])
+    out = changes.filtered(changes.change_source(raw), rules, _claims(spark), "/wh")
+    return out.select("seq", "path", "change_type")
+
+
+@query(_BATCHES + " SELECT batch, CASE WHEN bool_or(path LIKE '%/u1.cs') THEN 'rescan' ELSE 'apply' END AS action, CAST(count(*) AS BIGINT) AS n FROM c JOIN b ON epoch_us(c.ts) = b.us GROUP BY batch", graph=False)
+def control_events(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.control(_batched(spark, sf), "u1.cs")
+
+
+@query("SELECT p.doc_id AS id, array_to_string(list_slice(string_split(p.text, chr(10)), 2, 4), chr(10)) AS content FROM documents p WHERE p.text IS NOT NULL", graph=False)
+def content_snippet(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
+    spans = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("/d/"), "doc_id").alias("file_path"), F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
+    return files.content_snippet(spans, d.select(F.concat(F.lit("/d/"), "doc_id").alias("file_path"), "text"))
+
+
+@query(", gone AS (SELECT id FROM nodes WHERE parser_id = 'ship' AND type = 'Class') SELECT 'node' AS what, id FROM nodes WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'edge', id FROM edges WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'new', concat(id, '!') FROM nodes WHERE type = 'Interface'", keep=True)
+def upsert_delete(g: Graph) -> DataFrame:
+    gone = g.nodes.where("parser_id = 'ship' and type = 'Class'").select("id")
+    after = commit.delete_edges_of(commit.delete_nodes(g, gone), gone)
+    again = commit.upsert(after, g.nodes.where("type = 'Interface'").withColumn("name", F.concat("id", F.lit("!"))))
+    renamed = again.nodes.where("type = 'Interface'").select(F.lit("new"), "name")
+    return again.nodes.select(F.lit("node").alias("what"), "id").union(again.edges.select(F.lit("edge"), "id")).union(renamed)
+
+
+@query("SELECT file_path, count(*) AS n FROM nodes WHERE parser_id = 'ship' AND file_path NOT LIKE '%Supplier3%' AND file_path IN (SELECT file_path FROM nodes WHERE parser_id = 'ship' AND start_line % 7 = 0) GROUP BY 1 UNION ALL SELECT DISTINCT file_path, 0 FROM nodes WHERE file_path LIKE '%Supplier3%'", keep=True)
+def incremental_emission(g: Graph) -> DataFrame:
+    own = g.nodes.where("parser_id = 'ship'")
+    after = own.where("file_path not like '%Supplier3%'").withColumn("end_line", F.when(F.col("start_line") % 7 == 0, F.col("end_line") + 1).otherwise(F.col("end_line")))
+    emitted, replaced = commit.incremental_emission(own, after)
+    n = emitted.groupBy("file_path").agg(F.count("*").alias("n"))
+    return replaced.join(n, "file_path", "left").select("file_path", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

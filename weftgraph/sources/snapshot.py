@@ -1,14 +1,16 @@
-"""Versioned snapshots: a folder per version and a pointer that is replaced last."""
+"""Versioned snapshots: a folder per writer and a marker per version that is created last."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 from weftgraph.plans.adapter import Graph
 
 
 class SnapshotStore:
-    """Readers resolve the pointer once and keep that version; writers publish a version by one rename."""
+    """Readers resolve the pointer once and keep that version; writers publish a version by creating one marker."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -26,20 +28,43 @@ class SnapshotStore:
         return max([int(s.getPath().getName()) for s in fs.listStatus(p)], default=0)
 
     def publish(self, graph: Graph, expect: int | None = None) -> int:
-        """Write a snapshot and make it the current one; raises where another version than expected is current."""
+        """Write a snapshot into a folder of its own and make it the current one by creating its marker, which names the
+        folder; raises where another version than expected is current, or another writer was first. A loser's folder is
+        read by nobody and goes."""
         now = self.version()
         if expect is not None and now != expect:
             raise RuntimeError(f"version {now} is current, not {expect}")
-        v = now + 1
-        graph.nodes.write.mode("overwrite").parquet(f"{self.path}/v{v}/nodes")
-        graph.edges.write.mode("overwrite").parquet(f"{self.path}/v{v}/edges")
+        v, folder = now + 1, f"data-{uuid.uuid4().hex}"
+        graph.nodes.write.parquet(f"{self.path}/{folder}/nodes")
+        graph.edges.write.parquet(f"{self.path}/{folder}/edges")
         fs, p = self._at("published", str(v))
         fs.mkdirs(p.getParent())
-        fs.create(p, False).close()  # fails where another writer was first
+        try:
+            marker = fs.create(p, False)  # fails where there is one
+        except Exception as e:
+            where, own = self._at(folder)
+            where.delete(own, True)
+            raise RuntimeError(f"version {v} was published by another writer") from e
+        marker.write(folder.encode())
+        marker.close()
         return v
 
-    def read(self) -> Graph:
-        v = self.version()
+    def _folder(self, v: int) -> str:
+        fs, p = self._at("published", str(v))
+        stream = fs.open(p)
+        try:
+            return bytes(b & 255 for b in stream.readNBytes(100)).decode()
+        finally:
+            stream.close()
+
+    def read(self, v: int | None = None) -> Graph:
+        v = v or self.version()
         if not v:
             raise RuntimeError("nothing is published")
-        return Graph(self.spark.read.parquet(f"{self.path}/v{v}/nodes"), self.spark.read.parquet(f"{self.path}/v{v}/edges"), v)
+        folder = self._folder(v)
+        return Graph(self.spark.read.parquet(f"{self.path}/{folder}/nodes"), self.spark.read.parquet(f"{self.path}/{folder}/edges"), v)
+
+    def clear(self) -> None:
+        """Nothing is published from here on; snapshots that readers hold stay until their folders are removed."""
+        fs, p = self._at("published")
+        fs.delete(p, True)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.plans.staging import checkpointed
+from weftgraph.sources.facts import owner_of
+from weftgraph.sources.ignore import ignore_filter
 
 
 def change_source(raw: DataFrame) -> DataFrame:
@@ -17,6 +19,25 @@ def change_source(raw: DataFrame) -> DataFrame:
     return raw.select("seq", "ts", F.explode(rows).alias("x")).select("seq", "ts", "x.*")
 
 
+IGNORE_FILE = ".gitignore"
+
+
+def filtered(changes: DataFrame, rules: DataFrame, claims: DataFrame, root: str, ignore_file: str = IGNORE_FILE) -> DataFrame:
+    """Changes of files that some parser owns and no rule shuts out; files of rules always pass."""
+    own = owner_of(changes, claims)
+    below = F.expr(f"substring(path, {len(root.rstrip('/')) + 2})")
+    judged = ignore_filter(own.select(below.alias("path")).distinct(), rules).withColumnRenamed("path", "below")
+    is_rules = F.regexp_extract("path", r"([^/]*)$", 1) == ignore_file
+    out = own.withColumn("below", below).join(judged, "below", "left")
+    return out.where(is_rules | (F.col("parser_id").isNotNull() & F.coalesce("included", F.lit(True)))).select(*changes.columns, "parser_id")
+
+
+def control(batched: DataFrame, ignore_file: str = IGNORE_FILE) -> DataFrame:
+    """(batch, action, n): a batch with a change of an ignore file is a full rescan instead."""
+    is_rules = F.regexp_extract("path", r"([^/]*)$", 1) == ignore_file
+    return batched.groupBy("batch").agg(F.when(F.bool_or(is_rules), "rescan").otherwise("apply").alias("action"), F.count("*").alias("n"))
+
+
 def fold_changes(kinds: Column) -> Column:
     """What a path's changes, in order, amount to."""
 
