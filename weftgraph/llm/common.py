@@ -91,6 +91,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def whole_numbers(df: DataFrame, key: str) -> None:
+    """Raises, before any job runs, where ids aren't whole numbers: they would fail later or turn into nulls."""
+    kind = df.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids in {key} must be whole numbers, not {kind}")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; texts of ASCII alone take lower(), which is the same there and faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -10,7 +10,9 @@ components follow. Documents of buckets whose members then lie in more than one
 by prefixes: each keeps its rarest shingles, as many as two similar sets must share one of, and documents of
 different components that share such a shingle are compared. A passage that many documents hold is common, so it is
 in no prefix and makes no pairs; copies lie in one component by then. So stars bound the pairs of groups of near
-copies, and no pair that shares a bucket goes undecided.
+copies, and no pair that shares a bucket goes undecided. What bounds the second look is that the largest component of a
+token meets the others only, so its pairs grow with documents that lie in small components, share a rare shingle and
+are of like size; a token of many documents is dealt over several tasks.
 
 Every link is confirmed on the full shingle sets: a centre and up to ``salt`` members travel to one task as texts,
 where the sets are rebuilt; a centre with more members is sent once per ``salt`` of them. Components are found by
@@ -19,7 +21,8 @@ shared folder.
 
 Cases: texts without words, and null texts, have no shingles and are linked with nothing. Fewer words than a shingle:
 the whole sequence is the one shingle. Rows without an id are returned without a component and kept. Equal rows
-share a component; an id that repeats with other texts may lie in the component of any of them. Empty table: no rows. Long texts are taken whole.
+share a component; an id that repeats with other texts may lie in the component of any of them. Ids must be whole
+numbers. Empty table: no rows. Very long texts are taken whole. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import as_bytes, map_arrow, stage, table, unstage
+from weftgraph.llm.common import as_bytes, map_arrow, quoted, stage, table, unstage, whole_numbers
 
-BANDS, ROWS, SALT = 26, 5, 64
+BANDS, ROWS, SALT, WAY = 26, 5, 64, 256
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,7 +102,7 @@ def signatures(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
             bands.append(sign(s) if len(s) else None)
         return {"id": b.column(0), "n_shingles": n, "print": prints, "bands": bands}
 
-    return map_arrow(docs.select(F.col(key).cast("long"), text), "id bigint, n_shingles bigint, print binary, bands array<bigint>", run)
+    return map_arrow(docs.select(quoted(key).cast("long"), quoted(text)), "id bigint, n_shingles bigint, print binary, bands array<bigint>", run)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, key: str, text: str, percent: int = 80, salt: int = SALT) -> DataFrame:
@@ -108,7 +111,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, key: str, text: str,
     dealt = pairs.join(size, "centre").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
     needs = dealt.select(F.col("member").alias("need"), "centre", "salt", F.lit(1).alias("role"))
     needs = needs.union(size.select(F.col("centre").alias("need"), "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0)))
-    texts = docs.select(F.col(key).cast("long").alias("need"), F.col(text).alias("text"))
+    texts = docs.select(quoted(key).cast("long").alias("need"), quoted(text).alias("text"))
     rows = texts.join(needs.hint("shuffle_hash"), "need").select("centre", "salt", "role", "need", "text")
     rows = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role", "need")
 
@@ -162,7 +165,7 @@ def prefixes(ids: DataFrame, docs: DataFrame, width: int, key: str, text: str, p
         sets = [shingle_set(raw, width) for raw in as_bytes(b.column(2))]
         return {"id": b.column(0), "label": b.column(1), "n": [len(x) for x in sets], "tokens": [x.astype(np.int64) for x in sets]}
 
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids.hint("shuffle_hash"), "id").select("id", "label", "text")
+    texts = docs.select(quoted(key).cast("long").alias("id"), quoted(text).alias("text")).join(ids.hint("shuffle_hash"), "id").select("id", "label", "text")
     sets = stage(map_arrow(texts, "id bigint, label bigint, n bigint, tokens array<bigint>", run), "sets")
     each = sets.select("id", "label", "n", F.explode("tokens").alias("token"))
     counted = each.join(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token", "left")
@@ -181,13 +184,15 @@ def residual(members: DataFrame, labels: DataFrame, docs: DataFrame, width: int,
     ids = stage(known.join(mixed, "bucket", "left_semi").select("id", "label").distinct(), "mixed")
     found = stage(prefixes(ids, docs, width, key, text, percent), "prefixes")
     sizes = found.groupBy("token", "label").agg(F.count("*").alias("size"))
-    most = sizes.groupBy("token").agg(F.max(F.struct("size", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1").select("token", "most")
+    # A token of many documents is dealt into several ways of WAY of them, each with all of its small components.
+    ways = F.ceil(F.sum("size") / F.lit(WAY)).cast("int").alias("ways")
+    most = sizes.groupBy("token").agg(F.max(F.struct("size", "label"))["label"].alias("most"), F.count("*").alias("labels"), ways).where("labels > 1").select("token", "most", "ways")
     held = stage(found.join(most, "token"), "tokens")
     # All but the largest component of a token meet the others: as few pairs as there are small components.
-    few = held.where("label <> most").select("token", F.col("id").alias("x"), F.col("label").alias("xl"), F.col("n").alias("xn"), F.col("rest").alias("xrest"))
+    few = held.where("label <> most").select("token", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"), F.col("id").alias("x"), F.col("label").alias("xl"), F.col("n").alias("xn"), F.col("rest").alias("xrest"))
     # At the first token that two share, no more than the shorter rest can be common.
     enough = (100 + percent) * F.least("rest", "xrest") >= percent * (F.col("n") + F.col("xn"))
-    met = held.join(few, "token").where("label <> xl and (label = most or id < x)").where(_near("n", "xn", percent) & enough)
+    met = held.withColumn("way", F.pmod(F.xxhash64("id"), F.col("ways")).cast("int")).join(few, ["token", "way"]).where("label <> xl and (label = most or id < x)").where(_near("n", "xn", percent) & enough)
     pairs = met.select(F.least("id", "x").alias("centre"), F.greatest("id", "x").alias("member")).distinct()
     return stage(pairs, "pairs")
 
@@ -199,6 +204,7 @@ def _near(a: str, b: str, percent: int):
 
 def near_duplicates(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """(key, n_shingles, component) of every row."""
+    whole_numbers(docs, key)
     signed = stage(signatures(docs, width, key, text), "signatures")
     classes = signed.where("print is not null and id is not null").groupBy("print").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stage(classes, "classes")
@@ -225,7 +231,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, key: str = "doc_id", text:
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, on shingles of four words."""
     out = near_duplicates(table(spark, sf_dir, "documents"), width=4)
-    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 OP1_SQL = """

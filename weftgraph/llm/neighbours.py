@@ -1,16 +1,22 @@
 """Nearest neighbours by a block matrix join with quantised products.
 
-Vectors are packed into blocks, a block of queries meets each block of candidates once (a stated query set against
-all rows), and a tile of int8 products gives every inner product up to an error bound: with x = s q + e for the
-quantised q, |x.y - s t (q.p)| <= |e||y| + |s q||f|. Only candidates whose upper bound reaches the k-th best lower
-bound are recomputed from the original values in double precision; heaps keep k per query and tile, and a second
-round of heaps merges a query's tiles. So the result is exact, and the shuffle holds blocks and k rows per query
-and candidate block. The int8 products run as float32 matrix products, exact below 1000 dimensions and in double
-beyond.
+Vectors are quantised to int8 with a scale each, which is all that travels in blocks: a block of queries meets each
+block of candidates once (a stated query set against all rows), and a tile of int8 products gives every inner product
+up to an error bound: with x = s q + e for the quantised q, |x.y - s t (q.p)| <= |e||y| + |s q||f|. A tile lets pass
+what can reach its k-th best lower bound; over all tiles of a query only what can reach the k-th best lower bound of
+all is left, a little more than k pairs. These are recomputed from the original vectors in double precision and merged
+by heaps, so the result is exact. The shuffle holds a byte a component for each pair of blocks, k rows for each query
+and block of candidates, and the original vectors of the pairs that are left. The int8 products run as float32 matrix
+products, exact below 1000 dimensions and in double beyond.
+
+Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, so the others are not asked (a vector
+that a third of all rows share costs no more than another); this drops nothing that a result could hold. Rows are
+dealt into blocks by their number.
 
 Cases: null or zero vectors and those with null or non-finite components take no part, as query or candidate, nor
-do rows without an id. Vectors of different lengths never meet. Ties go to the smaller id. Fewer candidates than
-k: all of them. Repeated rows are candidates each, except for queries of the same id. Empty table: no rows.
+do rows without an id. Ids must be whole numbers. Vectors of different lengths never meet. Ties go to the smaller id.
+Fewer candidates than k: all of them. Repeated rows are candidates each, except for queries of the same id. Empty
+table: no rows. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -19,12 +25,12 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import table
+from weftgraph.llm.common import map_arrow, quoted, stage, table, whole_numbers
 
-BLOCK, QUERY_BLOCK, TILE = 16384, 1024, 2048
+BLOCK, QUERY_BLOCK, TILE = 65536, 4096, 2048
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -35,65 +41,108 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return codes, scale, np.linalg.norm(x - back, axis=1), np.linalg.norm(back, axis=1)
 
 
-def best_of_tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    """For each query its k best (score, -id) among the candidates, exactly."""
-    kind = np.float32 if q.shape[1] < 1000 else np.float64
-    a, s, e, n = quantise(q)
-    b, t, f, _ = quantise(c)
-    norm = np.linalg.norm(c, axis=1)
-    heaps: list[list[tuple[float, int]]] = [[] for _ in qid]
-    a = a.astype(kind)
-    for at in range(0, len(cid), TILE):
-        ids = cid[at : at + TILE]
-        near = (a @ b[at : at + TILE].astype(kind).T) * s[:, None] * t[None, at : at + TILE]
-        slack = (e[:, None] * norm[None, at : at + TILE] + n[:, None] * f[None, at : at + TILE]) * (1 + 1e-9) + 1e-6 * np.abs(near) + 1e-12
-        lower = np.where(qid[:, None] == ids[None, :], -np.inf, near - slack)
-        floor = np.partition(lower, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(qid), -np.inf)
-        floor = np.maximum(floor, [h[0][0] if len(h) == k else -np.inf for h in heaps])
-        keep = (near + slack >= floor[:, None]) & (qid[:, None] != ids[None, :])
-        rows, cols = np.nonzero(keep)
-        exact = np.einsum("ij,ij->i", q[rows], c[at + cols])
-        for r, v, x in zip(rows.tolist(), exact.tolist(), ids[cols].tolist(), strict=True):
-            h = heaps[r]
-            if len(h) < k:
-                heapq.heappush(h, (v, -x))
-            elif (v, -x) > h[0]:
-                heapq.heapreplace(h, (v, -x))
-    return heaps
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten()).reshape(-1, width).astype(np.float64)
+
+
+def codes_of(b: pa.RecordBatch) -> dict:
+    """(row, id, dim, query, code, scale, error, back, norm) of (row, id, dim, query, x)."""
+    dim = b.column(2).to_numpy()
+    code, out = [b""] * b.num_rows, np.zeros((4, b.num_rows))
+    for d in np.unique(dim):
+        at = np.nonzero(dim == d)[0]
+        x = matrix(b.column(4).take(pa.array(at)), int(d))
+        c, *sizes = quantise(x)
+        out[:, at] = np.stack([*sizes, np.linalg.norm(x, axis=1)])
+        for i, raw in zip(at.tolist(), c, strict=True):
+            code[i] = raw.tobytes()
+    return {"row": b.column(0), "id": b.column(1), "dim": b.column(2), "query": b.column(3), "code": code, "scale": out[0], "error": out[1], "back": out[2], "norm": out[3]}
+
+
+def bounds(q: dict[str, np.ndarray], c: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of a query, place of a candidate, lower and upper bound of their product) for all pairs that can be among
+    the query's k best of these candidates."""
+    width = q["code"].shape[1]
+    kind = np.float32 if width < 1000 else np.float64
+    a = q["code"].astype(kind)
+    best = np.full((len(a), k), -np.inf)
+    found: list[tuple] = []
+    for at in range(0, len(c["id"]), TILE):
+        part = {n: x[at : at + TILE] for n, x in c.items()}
+        near = (a @ part["code"].astype(kind).T).astype(np.float64) * q["scale"][:, None] * part["scale"][None]
+        slack = (q["error"][:, None] * part["norm"][None] + q["back"][:, None] * part["error"][None]) * (1 + 1e-9) + 1e-9 * np.abs(near) + 1e-12
+        lower = near - slack
+        lower[q["id"][:, None] == part["id"][None]] = -np.inf
+        best = -np.partition(-np.concatenate([best, lower], 1), k - 1, 1)[:, :k]
+        floor = best.min(1)
+        rows, cols = np.nonzero((near + slack >= floor[:, None]) & (lower > -np.inf))
+        found.append((rows, cols + at, lower[rows, cols], (near + slack)[rows, cols]))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0), np.zeros(0)
+    rows, cols, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+    keep = high >= best.min(1)[rows]
+    return rows[keep], cols[keep], low[keep], high[keep]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, key, score) of the k rows with the largest inner product, for each row that is a query."""
-    x = F.col(vector)
-    good = vectors.where(F.col(key).isNotNull() & x.isNotNull()).where(F.size(x) > 0)
+    whole_numbers(vectors, key)
+    x = quoted(vector)
+    good = vectors.where(quoted(key).isNotNull() & x.isNotNull()).where(F.size(x) > 0)
     good = good.where(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(x, lambda v: v != 0))
-    good = good.select(F.col(key).cast("long").alias("id"), x.cast("array<double>").alias("x"), is_query.alias("query"), F.size(x).alias("dim"))
+    good = good.select(F.monotonically_increasing_id().alias("row"), quoted(key).cast("long").alias("id"), F.size(x).alias("dim"), is_query.alias("query"), x.alias("x"))
+    good = stage(good, "vectors")  # row numbers hold from here on
     sizes = good.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("query").alias("m")).collect()  # a row per dimension
     cut = {r["dim"]: (-(-r["n"] // block), max(1, -(-r["m"] // query_block))) for r in sizes if r["m"]}
     if not cut:
-        return vectors.sparkSession.createDataFrame([], f"query_id bigint, rank int, {key} bigint, score double")
-    pick = F.create_map(*[F.lit(v) for d, (c, q) in cut.items() for v in (d, c)]), F.create_map(*[F.lit(v) for d, (c, q) in cut.items() for v in (d, q)])
-    salt = F.xxhash64("id", "x")
+        return vectors.sparkSession.createDataFrame([], f"query_id bigint, rank int, `{key}` bigint, score double")
+    of = lambda i: F.element_at(F.create_map(*[F.lit(v) for d, n in cut.items() for v in (d, n[i])]), F.col("dim"))
     good = good.where(F.col("dim").isin(list(cut)))
-    of = lambda m: F.element_at(m, F.col("dim"))
-    blocks = good.select("dim", F.explode(F.sequence(F.lit(0), of(pick[1]) - 1)).alias("qb"), F.pmod(salt, of(pick[0])).cast("int").alias("cb"), "id", "x")
-    asked = good.where("query").groupBy("id").agg(F.min(F.struct("dim", "x")).alias("one")).select("one.dim", "id", "one.x")  # an id asks once
-    every = asked.select("dim", F.pmod(salt, of(pick[1])).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), of(pick[0]) - 1)).alias("cb"), "id", "x")
-
-    def matrix(t: pa.Table) -> np.ndarray:
-        return np.asarray(t.column("x").combine_chunks().flatten()).reshape(len(t), -1).astype(np.float64)
+    # Equal vectors: the k + 1 smallest ids of each; Spark cuts groups before it shuffles them.
+    place = F.row_number().over(Window.partitionBy(F.xxhash64("x"), "x").orderBy("id", "row"))
+    needed = good.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+    once = good.where("query").groupBy("id").agg(F.min(F.struct("dim", "x", "row"))["row"].alias("row"))  # an id asks once
+    names = ["row", "id", "dim", "query", "x"]
+    shape = "row bigint, id bigint, dim int, query boolean, code binary, scale double, error double, back double, norm double"
+    codes = map_arrow(needed.select(names), shape, codes_of)
+    asked = map_arrow(good.join(once.select("row"), "row", "left_semi").select(names), shape, codes_of)
+    salt = F.xxhash64("row")
+    blocks = codes.select("*", F.explode(F.sequence(F.lit(0), of(1) - 1)).alias("qb"), F.pmod(salt, of(0)).cast("int").alias("cb"))
+    every = asked.select("*", F.pmod(salt, of(1)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), of(0) - 1)).alias("cb"))
+
+    def arrays(t: pa.Table) -> dict[str, np.ndarray]:
+        out = {n: t.column(n).to_numpy() for n in ("row", "id", "scale", "error", "back", "norm")}
+        return out | {"code": np.frombuffer(b"".join(t.column("code").to_pylist()), np.int8).reshape(len(t), -1)}
 
     def tile(asked: pa.Table, candidates: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        cols = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)] * 2
         if len(asked) and len(candidates):
-            cid, c = candidates.column("id").to_numpy(), matrix(candidates)
-            qid = asked.column("id").to_numpy()
-            for q, h in zip(qid.tolist(), best_of_tile(qid, matrix(asked), cid, c, k), strict=True):
-                out += [(q, -i, v) for v, i in h]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    met = every.groupBy("dim", "qb", "cb").cogroup(blocks.groupBy("dim", "qb", "cb")).applyInArrow(tile, "query_id bigint, id bigint, score double")
+            q, c = arrays(asked), arrays(candidates)
+            i, j, low, high = bounds(q, c, k)
+            cols = [q["row"][i], q["id"][i], c["row"][j], low, high]
+        return pa.table(dict(zip(("ask", "query_id", "row", "low", "high"), cols, strict=True)))
+
+    met = every.groupBy("dim", "qb", "cb").cogroup(blocks.groupBy("dim", "qb", "cb")).applyInArrow(tile, "ask bigint, query_id bigint, row bigint, low double, high double")
+    met = stage(met, "bounds")
+    own = Window.partitionBy("query_id").orderBy(F.desc("low"))
+    floor = met.withColumn("place", F.row_number().over(own)).where(F.col("place") <= k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("low").alias("low"))
+    floor = floor.select("query_id", F.when(F.col("n") == k, F.col("low")).otherwise(float("-inf")).alias("floor"))
+    left = met.join(floor, "query_id").where("high >= floor").select("ask", "query_id", "row")
+    left = left.join(good.select("row", "id", F.col("x")), "row").select("ask", "query_id", "id", "x")
+    left = left.join(good.where("query").select(F.col("row").alias("ask"), F.col("x").alias("qx")), "ask").select("query_id", "id", F.size("x").alias("dim"), "qx", "x")
+
+    def exact(b: pa.RecordBatch) -> dict:
+        dim, score = b.column(2).to_numpy(), np.zeros(b.num_rows)
+        for d in np.unique(dim):
+            at = np.nonzero(dim == d)[0]
+            q, c = (matrix(b.column(i).take(pa.array(at)), int(d)) for i in (3, 4))
+            score[at] = np.einsum("ij,ij->i", q, c)
+        return {"query_id": b.column(0), "id": b.column(1), "score": score}
+
+    scored = map_arrow(left, "query_id bigint, id bigint, score double", exact)
 
     def merge(batches):
         query, heap = None, []
@@ -119,7 +168,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", v
         cols = list(zip(*out, strict=True)) or [(), (), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "rank", key, "score"])
 
-    return met.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, f"query_id bigint, rank int, {key} bigint, score double")
+    return scored.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, f"query_id bigint, rank int, `{key}` bigint, score double")
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
