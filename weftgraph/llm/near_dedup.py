@@ -187,6 +187,7 @@ def residual(members: DataFrame, labels: DataFrame, docs: DataFrame, width: int,
     # A token of many documents is dealt into several ways of WAY of them, each with all of its small components.
     ways = F.ceil(F.sum("size") / F.lit(WAY)).cast("int").alias("ways")
     most = sizes.groupBy("token").agg(F.max(F.struct("size", "label"))["label"].alias("most"), F.count("*").alias("labels"), ways).where("labels > 1").select("token", "most", "ways")
+    most = stage(most, "shared-tokens")  # a join of two tables as they lie is split where a token is frequent
     held = stage(found.join(most, "token"), "tokens")
     # All but the largest component of a token meet the others: as few pairs as there are small components.
     few = held.where("label <> most").select("token", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"), F.col("id").alias("x"), F.col("label").alias("xl"), F.col("n").alias("xn"), F.col("rest").alias("xrest"))

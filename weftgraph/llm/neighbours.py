@@ -140,7 +140,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", v
             at = np.nonzero(dim == d)[0]
             q, c = (matrix(b.column(i).take(pa.array(at)), int(d)) for i in (3, 4))
             score[at] = np.einsum("ij,ij->i", q, c)
-        return {"query_id": b.column(0), "id": b.column(1), "score": score}
+        # A batch passes on no more than k rows of a query.
+        query, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+        order = np.lexsort((ids, -score, query))
+        first = np.concatenate([[True], np.diff(query[order]) != 0])
+        at = np.arange(len(order))
+        keep = order[at - np.maximum.accumulate(np.where(first, at, 0)) < k]
+        return {"query_id": query[keep], "id": ids[keep], "score": score[keep]}
 
     scored = map_arrow(left, "query_id bigint, id bigint, score double", exact)
 
