@@ -52,10 +52,6 @@ def _first_part(g: Graph) -> str:
     return g.nodes.where("type = 'Property'").agg(F.min("name")).first()[0] or ""
 
 
-def _suppliers(g: Graph) -> DataFrame:
-    return g.nodes.where("id like 'ship:default:supplier/%'")
-
-
 def _heads(g: Graph) -> DataFrame:
     """All methods, as roots."""
     return g.nodes.where("type = 'Method'")
@@ -186,7 +182,12 @@ def rank_related(g: Graph) -> DataFrame:
     return resolve.topk_with_totals(near, ["root"], order, 10).select("root", "node", "rank", "total", "truncated")
 
 
-_queries["topk_with_totals"], _sql["topk_with_totals"] = _queries["rank_related"], _sql["rank_related"]
+@query(f""", r AS (SELECT target_id AS root, id, row_number() OVER (PARTITION BY target_id ORDER BY coalesce(type, ''), line NULLS FIRST, id) AS rank, count(*) OVER (PARTITION BY target_id) AS total FROM edges WHERE {USAGE})
+SELECT root, id, CAST(rank AS INTEGER) AS rank, CAST(total AS BIGINT) AS total, total > 3 AS truncated FROM r WHERE rank <= 3""")
+def topk_with_totals(g: Graph) -> DataFrame:
+    order = [F.coalesce("type", F.lit("")), F.col("line").asc_nulls_first(), F.col("id")]
+    found = resolve.topk_with_totals(g.edges.where(X.is_usage()).withColumnRenamed("target_id", "root"), ["root"], order, 3)
+    return found.select("root", "id", "rank", "total", "truncated")
 
 
 def _links(incoming: bool) -> str:
@@ -213,13 +214,6 @@ def metrics(g: Graph) -> DataFrame:
     return stats.metrics(g, g.nodes)
 
 
-@query(""", p AS (SELECT r.id AS root, n.id AS node, 0 AS proximity FROM nodes r JOIN nodes n ON upper(r.file_path) = upper(n.file_path) WHERE r.id LIKE 'ship:default:supplier/%'
-UNION ALL SELECT r.id, n.id, 1 FROM nodes r JOIN nodes n ON upper(r.namespace) = upper(n.namespace) WHERE r.id LIKE 'ship:default:supplier/%' AND r.namespace <> '')
-SELECT root, node, CAST(min(proximity) AS INTEGER) AS proximity FROM p WHERE root <> node GROUP BY 1, 2""")
-def related_items(g: Graph) -> DataFrame:
-    return files.related_items(g.nodes, _suppliers(g))
-
-
 @query("SELECT 0 AS proximity, upper(file_path) AS \"group\", id AS node FROM nodes WHERE file_path <> '' UNION ALL SELECT 1, upper(namespace), id FROM nodes WHERE namespace <> ''")
 def related_groups(g: Graph) -> DataFrame:
     return files.related_groups(g.nodes)

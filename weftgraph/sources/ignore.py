@@ -32,8 +32,9 @@ def glob_to_regex(glob: str) -> str:
     return ("^" if rooted else "^(?:.*/)?") + out + "$"
 
 
-def compile_rules(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """Rules of (folder, text) pairs: (base, ord, negated, dir_only, pattern), nearer folders later."""
+def compile_rules(spark: SparkSession, files: list[tuple[str, str]], never: tuple[str, ...] = (".git",)) -> DataFrame:
+    """Rules of (folder, text) pairs: (base, ord, negated, dir_only, pattern), nearer folders later; ``never``: folders that
+    are out at any depth, whatever the rules say."""
     rows = []
     for base, text in sorted(files, key=lambda x: (x[0].count("/") + bool(x[0]), x[0])):
         for line in text.splitlines():
@@ -43,7 +44,7 @@ def compile_rules(spark: SparkSession, files: list[tuple[str, str]]) -> DataFram
             negated = line.startswith("!")
             glob = line[1:] if negated else line
             rows.append((base + "/" if base else "", len(rows), negated, glob.endswith("/"), glob_to_regex(glob)))
-    rows += [("", len(rows) + k, False, True, glob_to_regex(name)) for k, name in enumerate(n for n in (".git",))]
+    rows += [("", len(rows) + k, False, True, glob_to_regex(name)) for k, name in enumerate(never)]
     return spark.createDataFrame(rows, "base string, ord int, negated boolean, dir_only boolean, pattern string")
 
 
@@ -63,3 +64,10 @@ def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> D
     return found.where(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*[e.lstrip(".").lower() for e in extensions]))
 
 
+def included_files(spark: SparkSession, root: str, extensions: tuple[str, ...], rules: DataFrame) -> DataFrame:
+    """(path below the root, modified, length) of files with one of the extensions that no rule shuts out."""
+    top = root.rstrip("/")
+    found = scan_files(spark, root, extensions)
+    below = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
+    found = found.withColumn("path", F.substr(below, F.lit(len(top) + 2)))
+    return found.join(ignore_filter(found.select("path"), rules).where("included").select("path"), "path", "left_semi")

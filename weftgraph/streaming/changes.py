@@ -120,7 +120,7 @@ def micro_batch(changes: DataFrame, gap: int, cap: int) -> DataFrame:
     last = marked.groupBy("slice").agg(F.max("start").alias("last"))
     last = last.select("slice", F.max("last").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))  # at most SLICES rows
     named = marked.join(F.broadcast(last), "slice").select("us", F.coalesce(F.max("start").over(Window.partitionBy("slice").orderBy("us")), "earlier").alias("batch"))
-    return rows.join(named, F.col("_us") == F.col("us")).drop("_us", "us")
+    return rows.join(named.withColumnRenamed("us", "_us"), "_us").drop("_us")
 
 
 def coalesce_changes(batched: DataFrame) -> DataFrame:
