@@ -7,8 +7,13 @@ import __spark_entry__ as entry
 from weftgraph.plans import queries as graph
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"traverse_uses", "transitive_uses", "transitive_used_by", "indirect_tests", "test_evidence_summary", "member_call_tests", "potential_dispatch_tests", "heuristic_tests", "test_file_caps", "micro_batch", "section_presence", "response_json", "compact_context"}
-NAMES = sorted(set(graph.oracle_sql()) - SLOW)
+NAMES = [
+    "match_cascade", "facets", "rank_related", "topk_with_totals", "file_dependencies", "edge_occurrences", "metrics", "status",
+    "find_candidates", "multi_context", "no_match_hint", "compact_relationships", "build_relationships", "lookup_nodes", "nodes_by_paths",
+    "traverse_used_by", "bindings", "family_used_by", "test_evidence_files", "member_call_tests",
+    "commit_scoped", "upsert_delete", "incremental_emission", "delta_assemble", "delta_source", "stamp_ownership",
+    "coalesce_changes", "change_source", "control_events", "resumable_scan", "nearest_ancestor",
+]
 
 
 @pytest.fixture(scope="module")
