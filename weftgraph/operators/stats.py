@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.expr import complexity, is_usage, language_of
 from weftgraph.operators.lifecycle import ScanState
-from weftgraph.operators.traverse import resolved
 from weftgraph.plans.adapter import Graph
 
 STATUSES = ("Pending", "Processing", "Completed", "Failed", "Skipped")
@@ -43,9 +42,14 @@ def file_stats(metadata: DataFrame) -> DataFrame:
 
 
 def metrics(graph: Graph, roots: DataFrame) -> DataFrame:
-    """(id, complexity, lines, uses, used_by): direct neighbours count once each."""
-    usage = resolved(graph.edges.where(is_usage()), graph.nodes).where("source_id <> target_id").select("source_id", "target_id").distinct()
-    uses = usage.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("uses"))
-    used = usage.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("used_by"))
-    out = roots.join(uses, "id", "left").join(used, "id", "left")
+    """(id, complexity, lines, uses, used_by) of roots, which are nodes of the graph: direct neighbours count once each.
+
+    Both ends of an edge are counted in one aggregation and meet the nodes in one semi-join, on the far end.
+    """
+    end = lambda own, far, uses: F.struct(F.col(own).alias("id"), F.col(far).alias("far"), F.lit(uses).alias("uses"))
+    usage = graph.edges.where(is_usage()).where("source_id <> target_id").select("source_id", "target_id").distinct()
+    ends = usage.select(F.inline(F.array(end("source_id", "target_id", True), end("target_id", "source_id", False))))
+    ends = ends.join(graph.nodes.select(F.col("id").alias("far")), "far", "left_semi")
+    counts = ends.groupBy("id").agg(F.count_if("uses").alias("uses"), F.count_if(~F.col("uses")).alias("used_by"))
+    out = roots.join(counts, "id", "left")
     return out.select("id", complexity().alias("complexity"), (F.col("end_line") - F.col("start_line") + 1).cast("long").alias("lines"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("used_by", F.lit(0)).alias("used_by"))

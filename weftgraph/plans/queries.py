@@ -209,7 +209,7 @@ def file_dependents(g: Graph) -> DataFrame:
 @query(f""", u AS (SELECT DISTINCT source_id AS s, target_id AS t FROM edges WHERE {USAGE} AND {RESOLVED} AND source_id <> target_id)
 SELECT id, CAST(CASE type WHEN 'Class' THEN 5 WHEN 'Interface' THEN 3 WHEN 'Method' THEN 2 ELSE 1 END + (end_line - start_line + 1) // 10 AS BIGINT) AS complexity, CAST(end_line - start_line + 1 AS BIGINT) AS lines,
   CAST(coalesce(a.n, 0) AS BIGINT) AS uses, CAST(coalesce(b.n, 0) AS BIGINT) AS used_by
-FROM nodes LEFT JOIN (SELECT s, count(*) AS n FROM u GROUP BY s) a ON a.s = id LEFT JOIN (SELECT t, count(*) AS n FROM u GROUP BY t) b ON b.t = id""", keep=True)
+FROM nodes LEFT JOIN (SELECT s, count(*) AS n FROM u GROUP BY s) a ON a.s = id LEFT JOIN (SELECT t, count(*) AS n FROM u GROUP BY t) b ON b.t = id""")
 def metrics(g: Graph) -> DataFrame:
     return stats.metrics(g, g.nodes)
 
