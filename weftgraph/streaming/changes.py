@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,10 +123,10 @@ def micro_batch(changes: DataFrame, gap: int, cap: int) -> DataFrame:
     return rows.join(named.withColumnRenamed("us", "_us"), "_us").drop("_us")
 
 
-def coalesce_changes(batched: DataFrame) -> DataFrame:
-    """(batch, path, change_type, n): the net change of each path in each batch."""
+def coalesce_changes(batched: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, batch, path, change_type, n): the net change of each path in each batch, of each watch where keys name one."""
     ordered = F.array_sort(F.collect_list(F.struct("ts", "seq", "change_type")))
-    return batched.groupBy("batch", "path").agg(ordered.alias("all")).select("batch", "path", fold_changes(F.transform("all", lambda x: x["change_type"])).alias("change_type"), F.size("all").cast("long").alias("n"))
+    return batched.groupBy(*keys, "batch", "path").agg(ordered.alias("all")).select(*keys, "batch", "path", fold_changes(F.transform("all", lambda x: x["change_type"])).alias("change_type"), F.size("all").cast("long").alias("n"))
 
 
 def effective_changes(changes: DataFrame, present: DataFrame, excluded: DataFrame) -> DataFrame:
