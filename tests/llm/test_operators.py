@@ -215,13 +215,13 @@ def test_neighbours(spark):
     assert len(got) == 100 and neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0, 5).count() == 0
 
 
-@pytest.mark.parametrize("literal", [0, 50_000])
-def test_decontaminate(spark, docs, literal):
+@pytest.mark.parametrize("literal,broadcast", [(0, 0), (0, 2_000_000), (50_000, 0)])
+def test_decontaminate(spark, docs, literal, broadcast):
     texts = [r.text for r in docs.where("doc_id between 6 and 30").collect()]
     bench = [texts[0], " ".join(texts[1].split()[:15]), "tiny item", "x x", None, "", texts[2].upper()]
     b = spark.createDataFrame([(i * 7, t) for i, t in enumerate(bench)] + [(None, texts[3])], "item_id bigint, text string")
     more = docs.union(docs.where("doc_id = 8").select(F.lit(900).alias("doc_id"), F.concat(F.lit("a tiny item b "), "text"), *docs.columns[2:]))
-    got = {(r.doc_id, r["_n_words"]): (r["_hit"], r["_items"]) for r in decontaminate.hits(more, b, literal_runs=literal).collect()}
+    got = {(r.doc_id, r["_n_words"]): (r["_hit"], r["_items"]) for r in decontaminate.hits(more, b, literal_runs=literal, broadcast_runs=broadcast).collect()}
     import re
 
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))

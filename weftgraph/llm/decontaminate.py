@@ -77,10 +77,11 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", width: int = WID
         rows = stage(rows, "bench-words")
         known = runs.distinct()
         known = F.broadcast(known) if n_runs <= broadcast_runs else known
-        for m in sizes:
-            probe = rows.select("rid", F.explode(F.transform(places[m], lambda p: F.struct(p.alias("p"), run_hash(F.col("words"), p, m, m // 2 + 1).alias("run")))).alias("x"))  # noqa: B023
-            met = probe.select("rid", "x.p", F.col("x.run").alias("run"), F.lit(m).alias("m")).join(known, ["m", "run"], "left_semi")
-            rows = rows.join(met.groupBy("rid").agg(F.collect_list("p").alias(f"at_{m}")), "rid", "left")
+        # All sizes are probed in one pass and come back in one join, so the words travel once at most.
+        each = [F.transform(places[m], lambda p: F.struct(F.lit(m).alias("m"), p.alias("p"), run_hash(F.col("words"), p, m, m // 2 + 1).alias("run"))) for m in sizes]  # noqa: B023
+        probe = rows.select("rid", F.explode(F.flatten(F.array(*each))).alias("x")).select("rid", "x.*")
+        met = probe.join(known, ["m", "run"], "left_semi")
+        rows = rows.join(met.groupBy("rid").agg(*[F.collect_list(F.when(F.col("m") == m, F.col("p"))).alias(f"at_{m}") for m in sizes]), "rid", "left")
     some = F.lit(False)
     for m in sizes:
         some = some | (F.size(F.coalesce(f"at_{m}", F.expr("cast(array() as array<int>)"))) > 0)
