@@ -133,3 +133,16 @@ def test_licences_are_whole_texts(spark):
         at = sorted(k for k, _ in places)
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted({x for _, x in places})))
         assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+
+
+def test_shards_move_records_once_whatever_joins_cost(spark):
+    """Where no table is small enough for a broadcast by its size, the places of buckets still are, and records stay."""
+    d = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sharding.shard(d, bucket_bytes=500)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert plan.count("REPARTITION_BY") <= 1 and "BroadcastHashJoin" in plan

@@ -61,7 +61,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
         lambda a, b: F.when(a["draw"] < b["draw"], -1).when(a["draw"] > b["draw"], 1).when(a["row"] < b["row"], -1).otherwise(1),
     )
     filled = dealt.repartitionById(sum(buckets), F.col("bucket")).groupBy("bucket").agg(ordered.alias("rows"))
-    mixed = filled.select("bucket", F.posexplode(F.expr(f"shuffle(rows, {seed})")).alias("place", "x")).join(starts, "bucket")
+    mixed = filled.select("bucket", F.posexplode(F.expr(f"shuffle(rows, {seed})")).alias("place", "x")).join(F.broadcast(starts), "bucket")  # a row per bucket: records move once
     shard_, slot, grown = names(docs)
     return mixed.select(*[F.col("x.record")[c].alias(c) for c in docs.columns], F.col("x.shard").alias(shard_), (F.col("start") + F.col("place")).alias(slot), F.col("x.grown").alias(grown))
 
