@@ -110,7 +110,7 @@ def evidence(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int =
     named = files.select(*_row("root", F.lit("namingHeuristic")))
     witnessed = graph.select("root", "key").union(files.select("root", "key")).distinct()
     new = methods.join(witnessed, ["root", "key"], "left_semi").join(graph.where("method is not null").select("root", "key", "method"), ["root", "key", "method"], "left_anti")
-    return graph.union(named).union(new.select(*_row("root", F.lit("heuristicMethod"), F.col("method")))).drop("key").distinct()
+    return checkpointed(graph.union(named).union(new.select(*_row("root", F.lit("heuristicMethod"), F.col("method")))).drop("key").distinct())
 
 
 def summary(found: DataFrame, roots: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def summary(found: DataFrame, roots: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("evidence") == "heuristicMethod", F.struct("file", "method"))).alias("heuristics"),
         F.count_distinct("file").alias("files"),
     )
-    out = roots.select(F.col("id").alias("root")).join(n, "root", "left")
+    out = roots.select(F.col("id").alias("root")).join(n.hint("merge"), "root", "left")  # a row per root is no broadcast
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("references", "implementers", "heuristics", "files")]
     out = out.select("root", F.coalesce("directly_tested", F.lit(False)).alias("directly_tested"), *zero)
     return out.withColumn("is_tested", F.col("directly_tested") | (F.col("references") > 0) | (F.col("implementers") > 0) | (F.col("heuristics") > 0))
@@ -134,6 +134,6 @@ def test_files(found: DataFrame, methods: DataFrame, root_path: str = "", most_f
     each = found.groupBy("root", "file").agg(F.array_sort(F.collect_set(F.when(F.col("evidence") != "heuristicMethod", F.col("evidence")))).alias("evidence"), F.count_distinct("method").alias("test_count"))
     of_root = Window.partitionBy("root")
     each = each.withColumn("file_place", F.row_number().over(of_root.orderBy(fold("file"), "file"))).withColumn("file_count", F.count("*").over(of_root)).where(F.col("file_place") <= most_files)
-    own = found.where("method is not null").select("root", "file", "method").distinct().join(methods.select(F.col("id").alias("method"), "start_line"), "method")
+    own = found.where("method is not null").select("root", "file", "method").distinct().join(methods.select(F.col("id").alias("method"), "start_line").hint("merge"), "method")
     own = own.withColumn("place", F.row_number().over(Window.partitionBy("root", "file").orderBy("start_line", "method"))).where(F.col("place") <= most_methods)
-    return each.join(own.drop("start_line"), ["root", "file"], "left")
+    return each.join(own.drop("start_line").hint("merge"), ["root", "file"], "left")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.expr import LANGUAGES, RELATIONS, containing_type, fold, is_test_path, path_key, shown, type_rank
 
+#: So many names at most go to every task instead of being met by a sort.
+FEW_NAMES = 10_000
+
 
 def match_exact(nodes: DataFrame, name: str, kind: str | None = None) -> DataFrame:
     out = nodes.where(fold("name") == F.upper(F.lit(name)))
@@ -32,12 +35,17 @@ def edges_of(edges: DataFrame, keys: DataFrame, end: str, kind: str | None = Non
 def parts_found(texts: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct (text, name) of which the text holds the name. Every part of a text that is as long as some name is looked
     up by an equi-join, so no name meets a text that it isn't in; a row per distinct length of a name goes through the driver."""
-    lengths = [r[0] for r in names.where("name <> ''").select(F.char_length("name")).distinct().collect()]
+    names = names.where("name <> ''")
+    counts = {r[0]: r["count"] for r in names.groupBy(F.char_length("name")).count().collect()}
+    lengths = list(counts)
     size = F.char_length("text")
     own = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= size)
     parts = F.flatten(F.transform(own, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.col("text").substr(i, n))))
     cut = texts.distinct().select("text", F.explode(F.array_distinct(parts)).alias("name"))
-    return cut.join(names.distinct(), "name").select("text", "name")
+    # Spark takes texts and their parts, which are hundreds of times as many rows, for equally large, so it might send the parts to the driver.
+    wanted = names.distinct()
+    met = cut.join(F.broadcast(wanted), "name") if sum(counts.values()) <= FEW_NAMES else cut.hint("merge").join(wanted, "name")
+    return met.select("text", "name")
 
 
 def match_cascade(nodes: DataFrame, requests: DataFrame) -> DataFrame:
