@@ -108,3 +108,25 @@ def test_whole_deltas_equal_assembled_rows(spark, tmp_path):
         assert q.exception() is None
     assert got == [[("p", 1, 0), ("p", 1, 1), ("p", 1, 2), ("r", 2, 0)], [("q", 4, 0), ("q", 4, 1)]]
     assert {(r.parser_id, r.generation) for r in commit.assemble_rows(table()).collect()} == {("q", 4), ("r", 2)}  # p's generation 5 is open
+
+
+def test_chunks_across_files(spark):
+    """Chunks of a shard whose facts lie in many small files, equal facts told once: every fact once, in order, whole
+    chunks but the last; ends that are no part of the id, and null ones, come back as they were."""
+    from weftgraph.plans.adapter import Graph
+    from weftgraph.sources import facts
+
+    node = [("p", "w", f"n{i:03d}", f"i{i}", "x", "Class", "/a.cs", 1, 2, 0, "s", "g", "false") for i in range(25)]
+    names = [x.split(":")[0] for x in facts.NODE[7:-1].split(",")]
+    nodes = spark.createDataFrame(node, "parser_id string, workspace_id string, " + facts.NODE[7:-1])
+    edge = [("p", "w", f"n{i:03d}=[A]=>t{i}", f"n{i:03d}", f"t{i}" if i % 3 else "elsewhere", None if i % 5 == 0 else "A", i, None) for i in range(50)]
+    edge += [("q", "w", "only", "", "é", "B", None, 1), ("p", "w", None, "n001", "x" * 2000, None, 1, 1)]
+    edges = spark.createDataFrame(edge + edge[:20], "parser_id string, workspace_id string, " + facts.EDGE[7:-1])
+    got = facts.delta_chunks(Graph(nodes, edges.repartition(3)), 1, 1, size=7, rows=4).orderBy("parser_id", "chunk_ord").collect()
+    own = [r for r in got if r.parser_id == "p"]
+    assert [r.chunk_ord for r in own] == list(range(4 + 8)) and [r.is_last_for_request for r in own] == [False] * 11 + [True]
+    assert [len(r.nodes) for r in own][:4] == [7, 7, 7, 4] and [len(r.edges) for r in own][4:] == [7] * 7 + [2]
+    assert [x.id for r in own for x in r.nodes] == [x[2] for x in node] and list(own[0].nodes[0].asDict()) == names
+    want = sorted((x[2:] for x in edge if x[0] == "p"), key=lambda x: (x[0] is None, x[0]))
+    assert [tuple(x) for r in own for x in r.edges] == want
+    assert [tuple(x) for r in got if r.parser_id == "q" for x in r.edges] == [edge[50][2:]]

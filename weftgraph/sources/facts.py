@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.expr import col
 from weftgraph.plans.adapter import Graph
-from weftgraph.plans.staging import checkpointed
+from weftgraph.plans.staging import STAGING, checkpointed, held
 
 CHUNK = 2000
+#: Rows of a staged file of facts: few enough bytes for a task to read it whole (spark.sql.files.maxPartitionBytes).
+FILE_ROWS = 250_000
 NODE = "struct<id:string,identifier:string,name:string,type:string,file_path:string,start_line:int,end_line:int,start_col:int,namespace:string,signature:string,is_test:string>"
 EDGE = "struct<id:string,source_id:string,target_id:string,type:string,line:bigint,col:bigint>"
 DELTA = f"parser_id string, workspace_id string, generation bigint, request_id bigint, chunk_ord int, replaces_workspace boolean, replaces_files array<string>, nodes array<{NODE}>, edges array<{EDGE}>, is_last_for_request boolean"
@@ -77,41 +82,109 @@ def workspace_uri(text: Column | str) -> Column:
     return F.replace(F.url_encode(col(text)), F.lit("+"), F.lit("%20"))
 
 
-def chunked(graph: Graph, size: int = CHUNK) -> DataFrame:
-    """(parser_id, workspace_id, kind, chunk, place, id): facts dealt into chunks of a shard, nodes before edges. Places
-    follow the order of ids; a shard's facts are numbered where they lie, after a sort into ranges."""
-    shard, out = ["parser_id", "workspace_id"], None
-    for kind, df in (("node", graph.nodes), ("edge", graph.edges)):
-        lying = checkpointed(df.select(*shard, "id").orderBy(*shard, "id").withColumn("at", F.monotonically_increasing_id()))
-        lying = lying.withColumn("range", F.shiftright("at", 33))
-        first = lying.groupBy(*shard, "range").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # a row per shard and task
-        before = Window.partitionBy(*shard).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-        first = first.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-        at = F.col("before") + F.col("at") - F.col("first")
-        part = lying.join(F.broadcast(first), [*shard, "range"]).select(*shard, F.lit(kind).alias("kind"), F.floor(at / size).cast("int").alias("chunk"), (at % size).alias("place"), "id")
-        out = part if out is None else out.union(part)
-    return out
-
-
-def delta_chunks(graph: Graph, generation: int, request: int, size: int = CHUNK) -> DataFrame:
-    """Rows of DELTA: a shard's nodes, then its edges, at most ``size`` a chunk, at least one chunk, the last one marked."""
-    places = chunked(graph, size)
-    last_node = places.where("kind = 'node'").groupBy("parser_id", "workspace_id").agg(F.max("chunk").alias("last_node"))
-    names = {"node": [x.split(":")[0] for x in NODE[7:-1].split(",")], "edge": [x.split(":")[0] for x in EDGE[7:-1].split(",")]}
+def within(columns: Sequence[str], text: str = "id") -> list[Column]:
+    """The columns (three at most) and a number ``spots``: where one is a part of the text, it is null and its place and
+    length stand in the number. An edge's id holds its ends and type, so this halves the bytes of edges in a shuffle."""
+    at = {c: F.expr(f"coalesce(locate(`{c}`, `{text}`), 0)") for c in columns}
+    held = {c: at[c].between(1, 1023) & (F.char_length(c) <= 1023) for c in columns}
+    spots = [F.when(held[c], F.shiftleft(at[c].cast("long"), 20 * i) + F.shiftleft(F.char_length(c).cast("long"), 20 * i + 10)).otherwise(F.lit(0).cast("long")) for i, c in enumerate(columns)]
+    return [*[F.when(~F.coalesce(held[c], F.lit(False)), F.col(c)).alias(c) for c in columns], reduce(lambda x, y: x + y, spots).alias("spots")]
+
+
+def unfolded(columns: Sequence[str], text: str = "id") -> list[Column]:
+    """The columns as they were before ``within``."""
+    bits = lambda i: F.shiftright("spots", i).bitwiseAND(1023).cast("int")
+    return [F.when(bits(20 * i) > 0, F.col(text).substr(bits(20 * i), bits(20 * i + 10))).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)]
+
+
+def chunked(df: DataFrame, size: int = CHUNK, fold: Sequence[str] = (), rows: int = FILE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(facts in the order of ids, null last, with their block, chunk and place; a row per block with its shard and first
+    place, its rows and the shard's). A block is a file of at most ``rows`` of one shard, read by one task in its order.
+    Facts go once through a shuffle, into ranges of ids, where equal ones meet and are told once; columns of ``fold`` go
+    as parts of the id."""
+    shard, own = ["parser_id", "workspace_id"], df.columns
+    order = [*shard, F.col("id").asc_nulls_last()]
+    slim = df.select(*[c for c in own if c not in fold], *within(fold)) if fold else df
+    lying = slim.repartitionByRange(*order).distinct().sortWithinPartitions(*order)
+    lying = checkpointed(lying.withColumn("at", F.monotonically_increasing_id()), maxRecordsPerFile=rows)
+    lying = lying.withColumn("file", F.shiftright("at", 33) * (1 << 31) + F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / rows))
+    found = lying.groupBy(*shard, "file").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # a row per shard and file
+    all_of, up_to = Window.partitionBy(*shard), Window.partitionBy(*shard).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(up_to), F.lit(0))
+    blocks = checkpointed(found.select(*shard, "file", "first", "n", before.alias("before"), F.sum("n").over(all_of).alias("total"), F.row_number().over(Window.orderBy(*shard, "file")).alias("block")))
+    facts = lying.join(F.broadcast(blocks), [*shard, "file"])
+    place = F.col("before") + F.col("at") - F.col("first")
+    facts = facts.select(*[c for c in own if c not in fold], *(unfolded(fold) if fold else []), "block", F.floor(place / size).cast("int").alias("chunk"), (place % size).cast("int").alias("place"))
+    return facts.select(*own, "block", "chunk", "place"), blocks
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, chunk, fact) in order: a row for each (block, chunk) with its facts as a list."""
+
+    def row(block: int, chunk: int, parts: list[pa.Array]) -> pa.RecordBatch:
+        facts = pa.concat_arrays(parts)
+        listed = pa.ListArray.from_arrays(pa.array([0, len(facts)], pa.int32()), facts)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([chunk], pa.int32()), listed], ["block", "chunk", "facts"])
+
+    key, parts = None, []
+    for batch in batches:
+        block, chunk, facts = (batch.column(batch.schema.get_field_index(c)) for c in ("block", "chunk", "fact"))
+        if not len(facts):
+            continue
+        both = np.stack([block.to_numpy(), chunk.to_numpy()])
+        cuts = [0, *(np.flatnonzero((both[:, 1:] != both[:, :-1]).any(0)) + 1).tolist(), len(facts)]
+        for a, b in zip(cuts, cuts[1:]):
+            now = (int(both[0, a]), int(both[1, a]))
+            if key is not None and now != key:
+                yield row(*key, parts)
+                parts = []
+            key = now
+            parts.append(facts.slice(a, b - a))
+    if key is not None:
+        yield row(*key, parts)
+
+
+def gathered(facts: DataFrame, blocks: DataFrame, size: int, fact: Column, shape: str) -> DataFrame:
+    """(parser_id, workspace_id, chunk, facts): chunks within a block are cut from its rows as they are read; only those
+    that lie across blocks are shuffled. A file that was read in two parts would give a chunk of too few facts: an error."""
+    shard = ["parser_id", "workspace_id"]
+    end = F.col("before") + F.col("n")
+    last = F.when((end % size != 0) & (end < F.col("total")), F.floor(end / size).cast("int"))
+    edge = blocks.select("block", F.when(F.col("before") % size != 0, F.floor(F.col("before") / size).cast("int")).alias("head"), last.alias("tail"))
+    rows = facts.join(F.broadcast(edge), "block")
+    across = F.coalesce(F.col("chunk") == F.col("head"), F.lit(False)) | F.coalesce(F.col("chunk") == F.col("tail"), F.lit(False))
+    cut = rows.where(~across).select("block", "chunk", fact.cast(shape).alias("fact")).mapInArrow(_runs, f"block int, chunk int, facts array<{shape}>")
+    cut = cut.join(F.broadcast(blocks.select(*shard, "block", "total")), "block")
+    whole = F.size("facts") == F.least(F.lit(size), F.col("total") - F.col("chunk").cast("long") * size)
+    cut = cut.select(*shard, "chunk", F.when(whole, F.col("facts")).otherwise(F.raise_error(F.lit("a staged file was read in parts"))).alias("facts"))
+    met = rows.where(across).groupBy(*shard, "chunk").agg(F.array_sort(F.collect_list(F.struct("place", fact.cast(shape).alias("fact"))))["fact"].alias("facts"))
+    return cut.union(met)
+
+
+def delta_chunks(graph: Graph, generation: int, request: int, size: int = CHUNK, rows: int = FILE_ROWS) -> DataFrame:
+    """Rows of DELTA: a shard's nodes, then its edges, at most ``size`` a chunk, at least one chunk, the last one marked.
+    How many chunks a shard has is known from its blocks, so facts are gathered once. Equal facts are told once."""
+    shard, shapes, ends = ["parser_id", "workspace_id"], {"node": NODE, "edge": EDGE}, ("source_id", "target_id", "type")
+    names = {kind: [x.split(":")[0] for x in shape[7:-1].split(",")] for kind, shape in shapes.items()}
+    placed = {kind: chunked(df.select(*shard, *names[kind]), size, ends if kind == "edge" else (), rows) for kind, df in (("node", graph.nodes), ("edge", graph.edges))}
+    counts = [b.groupBy(*shard).agg(F.max("total").alias("n")).select(*shard, F.lit(kind).alias("kind"), F.ceil(F.col("n") / size).cast("int").alias("n")) for kind, (_, b) in placed.items()]
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    chunks = F.broadcast(checkpointed(counts[0].union(counts[1]).groupBy(*shard).agg(of("node").alias("nodes_end"), of("edge").alias("edges_end"))))
     out = None
-    for kind, df, shape in (("node", graph.nodes, NODE), ("edge", graph.edges, EDGE)):
-        fact = F.struct(*[F.col(c) for c in names[kind]]).cast(shape)
-        rows = places.where(F.col("kind") == kind).join(df.select("id", fact.alias("fact")), "id")
-        rows = rows.groupBy("parser_id", "workspace_id", "chunk").agg(F.array_sort(F.collect_list("fact"), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("facts"))
-        rows = rows.join(last_node, ["parser_id", "workspace_id"], "left")
-        at = F.col("chunk") if kind == "node" else F.col("chunk") + F.coalesce(F.col("last_node") + 1, F.lit(0))
+    for kind, shape in shapes.items():
+        found = gathered(*placed[kind], size, F.struct(*[F.col(c) for c in names[kind]]), shape).join(chunks, shard)
+        at = F.col("chunk") if kind == "node" else F.col("chunk") + F.col("nodes_end")
         none = {"node": F.expr(f"cast(array() as array<{EDGE}>)"), "edge": F.expr(f"cast(array() as array<{NODE}>)")}[kind]
         pair = [F.col("facts").alias("nodes"), none.alias("edges")] if kind == "node" else [none.alias("nodes"), F.col("facts").alias("edges")]
-        part = rows.select("parser_id", "workspace_id", at.cast("int").alias("chunk_ord"), *pair)
+        part = found.select(*shard, F.lit(generation).cast("bigint").alias("generation"), F.lit(request).cast("bigint").alias("request_id"), at.alias("chunk_ord"), F.lit(True).alias("replaces_workspace"), F.expr("cast(array() as array<string>)").alias("replaces_files"), *pair, (at + 1 == F.col("nodes_end") + F.col("edges_end")).alias("is_last_for_request"))
         out = part if out is None else out.union(part)
-    end = out.groupBy("parser_id", "workspace_id").agg(F.max("chunk_ord").alias("end"))
-    out = out.join(end, ["parser_id", "workspace_id"])
-    return out.select("parser_id", "workspace_id", F.lit(generation).cast("bigint").alias("generation"), F.lit(request).cast("bigint").alias("request_id"), "chunk_ord", F.lit(True).alias("replaces_workspace"), F.expr("cast(array() as array<string>)").alias("replaces_files"), "nodes", "edges", (F.col("chunk_ord") == F.col("end")).alias("is_last_for_request"))
+    return out
+
+
+def write_deltas(chunks: DataFrame, path: str) -> None:
+    """Chunks as JSON lines, packed, since facts of one file repeat each other."""
+    with held(chunks.sparkSession, **STAGING):
+        chunks.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").json(path)
 
 
 def read_deltas(spark: SparkSession, path: str) -> DataFrame:
