@@ -16,7 +16,7 @@ from weftgraph.operators.resolve import parts_found
 from weftgraph.operators.traverse import families, heads_of, members_of, reach, resolved
 from weftgraph.plans.staging import checkpointed
 
-DEPTH, MEMBERS, HEURISTIC_NODES = 5, 200, 10
+DEPTH, HEURISTIC_NODES = 5, 10
 CALLS = "type in ('CALLS', 'MOCK_CALLS')"
 
 
@@ -33,7 +33,7 @@ def _row(root: str, tag: Column, method: Column | None = None, source: Column |
     return [F.col(root).alias("root"), "key", "file", tag.alias("evidence"), (none if method is None else method).alias("method"), (none if source is None else source).alias("source")]
 
 
-def graph_evidence(nodes: DataFrame, edges: DataFrame, roots: DataFrame, tests: DataFrame, depth: int = DEPTH, members: int | None = MEMBERS) -> DataFrame:
+def graph_evidence(nodes: DataFrame, edges: DataFrame, roots: DataFrame, tests: DataFrame, depth: int = DEPTH, members: int | None = None) -> DataFrame:
     """(root, key, file, evidence, method, source) of what edges say. ``members``: how many members of a type are looked
     at for calls, the first by edge id; None for all."""
     roots = roots.where(F.coalesce("name", F.lit("")) != "").select("id", (F.coalesce(fold("type"), F.lit("")) == "METHOD").alias("is_head"))
@@ -74,7 +74,7 @@ def _named(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.coalesce("name", F.lit("")) != "").select(F.col("id").alias("root"), low.alias("low"), F.concat(F.lit("test"), short).alias("short"))
 
 
-def naming(tests: DataFrame, roots: DataFrame, nodes_at_most: int | None = HEURISTIC_NODES) -> tuple[DataFrame, DataFrame]:
+def naming(tests: DataFrame, roots: DataFrame, nodes_at_most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((root, key, file) of test files that may hold tests of a root by their names or methods; (root, key, file, method)
     of the test methods of any test file that do). ``nodes_at_most``: how many symbols of such files are looked at, in the
     order of files; None for all."""
@@ -101,7 +101,7 @@ def naming(tests: DataFrame, roots: DataFrame, nodes_at_most: int | None = HEURI
     return named.join(near, "low").select("root", "key", "file"), named.join(by_method, "low").select("root", "key", "file", F.col("id").alias("method"))
 
 
-def evidence(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = DEPTH, members: int | None = MEMBERS, heuristic_nodes: int | None = HEURISTIC_NODES) -> DataFrame:
+def evidence(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = DEPTH, members: int | None = None, heuristic_nodes: int | None = None) -> DataFrame:
     """(root, file, evidence, method, source): a row per root, test file, tag and test method (null where a file speaks as a
     whole). Methods that only their names or their file's name speak for have the tag ``heuristicMethod``."""
     tests = checkpointed(test_symbols(nodes))
