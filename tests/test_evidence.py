@@ -23,3 +23,9 @@ def wide(spark):
 def test_heuristics_of_all_files(wide):
     got = queries.heuristic_tests(wide).where("root = 'gear'").collect()
     assert {(r.file, r.method) for r in got} == {(f"/tests/{f}.cs", f"{f}{i:02d}") for f in "AB" for i in range(12)}
+
+
+def test_files_of_all_names_and_members(wide):
+    got = {(r.root, r.file, r.evidence): r.methods for r in queries.test_evidence_files(wide).collect()}
+    assert {f for r, f, tag in got if (r, tag) == ("gear", "namingHeuristic")} == {"/tests/A.cs", "/tests/B.cs"}
+    assert got["gear", "/tests/B.cs", "heuristicMethod"] == 12 and got["cls", "/tests/Z.cs", "memberCall"] == 1
