@@ -29,3 +29,9 @@ def test_files_of_all_names_and_members(wide):
     got = {(r.root, r.file, r.evidence): r.methods for r in queries.test_evidence_files(wide).collect()}
     assert {f for r, f, tag in got if (r, tag) == ("gear", "namingHeuristic")} == {"/tests/A.cs", "/tests/B.cs"}
     assert got["gear", "/tests/B.cs", "heuristicMethod"] == 12 and got["cls", "/tests/Z.cs", "memberCall"] == 1
+
+
+def test_summary_of_all_names_and_members(wide):
+    got = {r.root: r for r in queries.test_evidence_summary(wide).where("root in ('gear', 'cls')").collect()}
+    assert got["gear"].heuristics == 24 and got["gear"].files == 2
+    assert got["cls"].directly_tested and got["cls"].is_tested
