@@ -17,6 +17,7 @@ from weftgraph.operators.traverse import families, heads_of, members_of, reach,
 from weftgraph.plans.staging import checkpointed
 
 DEPTH, HEURISTIC_NODES = 5, 10
+FILES, METHODS = 5, 5  # told of a root, and of each of these
 CALLS = "type in ('CALLS', 'MOCK_CALLS')"
 
 
@@ -122,13 +123,18 @@ def summary(found: DataFrame, roots: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("evidence") == "heuristicMethod", F.struct("file", "method"))).alias("heuristics"),
         F.count_distinct("file").alias("files"),
     )
+    return summed(n, roots)
+
+
+def summed(n: DataFrame, roots: DataFrame) -> DataFrame:
+    """The same of roots with counts (root, directly_tested, references, implementers, heuristics, files)."""
     out = roots.select(F.col("id").alias("root")).join(n.hint("merge"), "root", "left")  # a row per root is no broadcast
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("references", "implementers", "heuristics", "files")]
     out = out.select("root", F.coalesce("directly_tested", F.lit(False)).alias("directly_tested"), *zero)
     return out.withColumn("is_tested", F.col("directly_tested") | (F.col("references") > 0) | (F.col("implementers") > 0) | (F.col("heuristics") > 0))
 
 
-def test_files(found: DataFrame, methods: DataFrame, root_path: str = "", most_files: int = 5, most_methods: int = 5) -> DataFrame:
+def test_files(found: DataFrame, methods: DataFrame, root_path: str = "", most_files: int = FILES, most_methods: int = METHODS) -> DataFrame:
     """(root, file, evidence, method, place, test_count, file_place, file_count): the first files of each root by path and
     the first methods of each by line, with totals. ``methods``: nodes with id and start_line."""
     each = found.groupBy("root", "file").agg(F.array_sort(F.collect_set(F.when(F.col("evidence") != "heuristicMethod", F.col("evidence")))).alias("evidence"), F.count_distinct("method").alias("test_count"))
