@@ -37,3 +37,9 @@ def rows(df):
 def test_heuristics(drawn):
     want = rows(drawn[1].where("evidence = 'heuristicMethod'").select("root", "file", "method"))
     assert rows(witness.heuristics(drawn[0])) == want and len(want) > 20
+
+
+def test_counts_by_file(drawn):
+    want = drawn[1].groupBy("root", "file", "evidence").agg(F.count_distinct("method").alias("methods"))
+    assert rows(witness.by_file(drawn[0])) == rows(want)
+    assert {r.evidence for r in want.collect()} == set(witness.TAGS)
