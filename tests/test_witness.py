@@ -43,3 +43,8 @@ def test_counts_by_file(drawn):
     want = drawn[1].groupBy("root", "file", "evidence").agg(F.count_distinct("method").alias("methods"))
     assert rows(witness.by_file(drawn[0])) == rows(want)
     assert {r.evidence for r in want.collect()} == set(witness.TAGS)
+
+
+def test_summary(drawn):
+    want = evidence.summary(drawn[1], drawn[0].nodes)
+    assert rows(witness.summary(drawn[0]).select(want.columns)) == rows(want)
