@@ -48,3 +48,10 @@ def test_counts_by_file(drawn):
 def test_summary(drawn):
     want = evidence.summary(drawn[1], drawn[0].nodes)
     assert rows(witness.summary(drawn[0]).select(want.columns)) == rows(want)
+
+
+def test_capped(drawn):
+    """Files and methods are capped alike, and names where a cap is asked for."""
+    n = drawn[0].nodes
+    want = evidence.test_files(drawn[2], n)
+    assert rows(witness.capped(drawn[0], 3).select(want.columns)) == rows(want)
